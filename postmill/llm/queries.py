@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import nearest, repeated_lines
+from postmill.llm import near_duplicates, nearest, repeated_lines, survivors
 from postmill.session import table
 
 
@@ -25,5 +25,45 @@ often AS (SELECT company_id, k FROM keyed WHERE k <> '' GROUP BY company_id, k H
 SELECT DISTINCT CAST(id AS BIGINT) AS posting_id, CAST(line_no AS BIGINT) AS line_no FROM keyed JOIN often USING (company_id, k)
 """
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
-SQL = {"p3_found": P3_SQL}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.pairs(table(spark, sf_dir, "job_postings"), "id", "normalized_title", "description", threshold=0.7, shingle=4)
+
+
+P4_SQL = r"""
+WITH words AS (SELECT id, normalized_title AS t, list_filter(regexp_split_to_array(lower(description), '[^\p{L}\p{N}+#]+'), lambda x: x <> '') AS w FROM job_postings WHERE normalized_title IS NOT NULL),
+sets AS (SELECT id, t, list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS s FROM words WHERE len(w) >= 4)
+SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, len(a.s) AS m, len(b.s) AS n, len(list_intersect(a.s, b.s)) AS k
+FROM sets a JOIN sets b ON a.t = b.t AND a.id < b.id AND 10 * least(len(a.s), len(b.s)) >= 7 * greatest(len(a.s), len(b.s)))
+WHERE 10 * k >= 7 * (m + n - k)
+"""
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.surviving_values(table(spark, sf_dir, "job_postings"), table(spark, sf_dir, "ingestion_runs"))
+
+
+def p7_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location and department by truth discovery with the companies as sources."""
+    return survivors.discovered_values(table(spark, sf_dir, "job_postings"), table(spark, sf_dir, "ingestion_runs"))
+
+
+P7_SQL = r"""
+WITH RECURSIVE edges AS (SELECT id AS x, canonical_id AS y FROM job_postings WHERE canonical_id IS NOT NULL AND canonical_id <> id
+  UNION SELECT canonical_id, id FROM job_postings WHERE canonical_id IS NOT NULL AND canonical_id <> id),
+reach(x, y) AS (SELECT x, x FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+present AS (SELECT r.x, r.y FROM reach r JOIN (SELECT DISTINCT id FROM job_postings) p ON p.id = r.y JOIN (SELECT DISTINCT id FROM job_postings) q ON q.id = r.x),
+groups AS (SELECT x AS id, min(y) AS group_id FROM present GROUP BY x HAVING count(DISTINCT y) > 1),
+m AS (SELECT g.group_id, p.id, length(regexp_replace(p.description, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS len,
+  CASE WHEN upper(regexp_replace(p.location, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) NOT IN ('', 'N/A', '-', 'TBD') THEN p.location END AS location,
+  CASE WHEN upper(regexp_replace(p.department, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) NOT IN ('', 'N/A', '-', 'TBD') THEN p.department END AS department,
+  CASE WHEN p.posted_at >= TIMESTAMPTZ '2015-01-01 00:00:00+00' AND p.posted_at <= (SELECT arg_max(started_at, id) FROM ingestion_runs) THEN p.posted_at END AS posted
+  FROM groups g JOIN job_postings p USING (id))
+SELECT group_id, field_name, id AS posting_id FROM (
+  SELECT group_id, 'description' AS field_name, id, row_number() OVER (PARTITION BY group_id ORDER BY len DESC, id) AS n FROM m WHERE len > 0
+  UNION ALL SELECT group_id, 'location', id, row_number() OVER (PARTITION BY group_id ORDER BY posted DESC NULLS LAST, id) FROM m WHERE location IS NOT NULL
+  UNION ALL SELECT group_id, 'department', id, row_number() OVER (PARTITION BY group_id ORDER BY posted DESC NULLS LAST, id) FROM m WHERE department IS NOT NULL
+  UNION ALL SELECT group_id, 'posted_at', id, row_number() OVER (PARTITION BY group_id ORDER BY posted, id) FROM m WHERE posted IS NOT NULL) WHERE n = 1
+"""
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_truth": p7_truth}
+SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
