@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import near_duplicates, nearest, repeated_lines, survivors
+from postmill.llm import encoding, leakage, mojibake, near_duplicates, nearest, repeated_lines, survivors
 from postmill.session import table
 
 
@@ -65,5 +66,37 @@ SELECT group_id, field_name, id AS posting_id FROM (
   UNION ALL SELECT group_id, 'posted_at', id, row_number() OVER (PARTITION BY group_id ORDER BY posted, id) FROM m WHERE posted IS NOT NULL) WHERE n = 1
 """
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_truth": p7_truth}
-SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ids = encoding.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return ids.select(F.col("id").alias("doc_id"), "ids")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", window=12, budget=0)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 12 words with up to one word edited."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", window=12, budget=1)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+P9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM d WHERE len(w) >= 12),
+ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mojibake.restored(table(spark, sf_dir, "documents"), "doc_id", "text").distinct()
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(F.md5(F.encode("restored", "UTF-8")), F.lit("")).alias("restored_md5"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found}
+SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
