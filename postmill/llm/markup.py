@@ -240,12 +240,13 @@ def line_leaves(text: str) -> list[Leaf]:
             continue
         if m and (m[2] or m[3] or m[4]):
             mark = m[2] or ("1." if m[3] else m[4][:3])
-            j, body = i + 1, [m[5]]
+            closed = HEAD.match(line)  # hashes may also close a heading
+            j, body = i + 1, [closed[2] if closed else m[5]]
             while j < n and re.match(r"^(?: {2,}|\t)\S", lines[j]) and not MARK.match(lines[j]):
                 body.append(lines[j].strip())
                 j += 1
             add(("mark:" + mark, "deep" if m[1] else "top"), " ".join(body), i, j)
-            i, after_item = j, True
+            i, after_item = j, not closed
             continue
         after_item = False
         if m := HEAD.match(line):

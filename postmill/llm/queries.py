@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import encoding, leakage, mojibake, near_duplicates, nearest, repeated_lines, survivors
+from postmill.llm import encoding, leakage, markup, mojibake, near_duplicates, nearest, repeated_lines, survivors
 from postmill.session import table
 
 
@@ -98,5 +98,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce(F.md5(F.encode("restored", "UTF-8")), F.lit("")).alias("restored_md5"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.found(table(spark, sf_dir, "greenhouse"), "id", "content")
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of every job's content."""
+    return markup.clean_text(table(spark, sf_dir, "greenhouse"), "id", "content")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
