@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -123,16 +124,18 @@ def corpus_statistics(docs: DataFrame, text: str) -> dict[str, np.ndarray]:
 
 
 class _Cache(dict):
-    """What a function gives for two-character strings, kept for a bounded number of them."""
+    """What a function gives for short strings, kept for a bounded number of them."""
 
     def __init__(self, function):
         super().__init__()
         self.function = function
 
-    def __missing__(self, pair: str) -> float:
-        if len(self) > PAIR_SLOTS:
+    def __missing__(self, key: str):
+        if len(key) > 64:
+            return self.function(key)
+        if len(self) > 200_000:
             self.clear()
-        value = self[pair] = self.function(ord(pair[0]), ord(pair[1]))
+        value = self[key] = self.function(key)
         return value
 
 
@@ -146,9 +149,10 @@ class Model:
         self.chars = dict(zip(stats["chars"].tolist(), (np.log(stats["char_n"]) - self.log_n).tolist()))
         self.known = {c for c, n in zip(stats["chars"].tolist(), stats["char_n"].tolist()) if n >= least}
         self.floor = -self.log_n - 3.0
-        self.log_p = _Cache(self._pair)
-        self.low = _Cache(lambda x, y: 1.0 if self._information(x, y) < tau else -0.25)
-        self.rare = _Cache(lambda x, y: self._information(x, y) < rare)
+        self.tau, self.rare = tau, rare
+        self.log_p = _Cache(lambda pair: self._pair(ord(pair[0]), ord(pair[1])))
+        self.info = _Cache(lambda pair: self._information(ord(pair[0]), ord(pair[1])))
+        self.judged = _Cache(self._judged)
 
     def _pair(self, x: int, y: int) -> float:
         if x < 128 and y < 128:
@@ -162,6 +166,19 @@ class Model:
             return 0.0
         return math.exp(p) * max(p - self.chars.get(x, self.floor) - self.chars.get(y, self.floor), 0.0)
 
+    def familiar(self, text: str) -> bool:
+        """All characters are known."""
+        return all(c < "\x80" or ord(c) in self.known for c in set(text))
+
+    def _judged(self, around: str) -> tuple[float, int, int]:
+        """Of a stretch of non-ASCII characters with its neighbours: the score of its pairs, how many are rare,
+        and how many there are."""
+        values = [self.info[around[i : i + 2]] for i in range(len(around) - 1)]
+        if not values:
+            return 1.0, 1, 1
+        low = sum([v < self.tau for v in values])
+        return low - 0.25 * (len(values) - low), sum([v < self.rare for v in values]), len(values)
+
     def score(self, text: str) -> float:
         """Log probability of the pairs with a non-ASCII character."""
         log_p = self.log_p
@@ -189,19 +206,28 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b, _, _ in stack]
 
 
-def improbable_runs(text: str, model: Model) -> list[tuple[int, int]]:
+@dataclass
+class Stretches:
+    """The non-ASCII stretches of a text as judged, and the runs that they form."""
+
+    spans: list[tuple[int, int]]
+    judged: list[tuple[float, int, int]]
+    runs: list[tuple[int, int]]
+
+
+def improbable_runs(text: str, model: Model) -> Stretches:
     """Spans of the maximum-scoring segments of improbable pairs."""
-    scores, spans, last, low = [], [], 0, model.low
-    for m in NON_ASCII.finditer(text):
-        a, b = m.span()
-        if scores:
+    spans = [m.span() for m in NON_ASCII.finditer(text)]
+    judged = [model.judged[text[a - 1 if a else 0 : b + 1]] for a, b in spans]
+    scores, last = [], None
+    for (a, b), (score, _, _) in zip(spans, judged):
+        if last is not None:
             scores.append(-0.01 * (a - last))
-            spans.append((last, a))
-        around = text[max(0, a - 1) : b + 1]
-        scores.append(sum([low[around[i : i + 2]] for i in range(len(around) - 1)]) if len(around) > 1 else 1.0)
-        spans.append((a, b))
+        scores.append(score)
         last = b
-    return [(spans[a][0], spans[b - 1][1]) for a, b in maximal_segments(scores)]
+    # scores of stretches stand at even places
+    runs = [(spans[a // 2][0], spans[(b - 1) // 2][1]) for a, b in maximal_segments(scores)]
+    return Stretches(spans, judged, runs)
 
 
 class Restorer:
@@ -212,8 +238,10 @@ class Restorer:
         self.utf8 = [Utf8ReadAs(e) for e in READ_AS]
         self.single = [OneByte(w, r) for w, r in SINGLE]
 
-    def _chains(self, text: str, runs: list[tuple[int, int]], reader: Utf8ReadAs) -> list[tuple[int, int, str, float]]:
-        out = []
+    def _chains(self, text: str, longer: str, runs: list[tuple[int, int]], reader: Utf8ReadAs) -> list[tuple[int, int, str, float]]:
+        out: list[tuple[int, int, str, float]] = []
+        if not reader.chain.search(longer):
+            return out
         for lo, hi in runs:
             for m in reader.chain.finditer(text, lo, hi):
                 new = reader.restore(m.group())
@@ -247,24 +275,26 @@ class Restorer:
         rest = text[lo:a] + "\n" + text[b:hi]
         return re.search(r"(?<!\S)[\"'“„(«]?" + re.escape(new) + r"[\"'”“),;.»]?(?!\S)", rest) is not None
 
-    def _doubtful(self, text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
-        """Sentences that reach into a run and have many improbable pairs, with their score."""
-        found, rare = [], self.model.rare
+    def _doubtful(self, text: str, found: Stretches) -> list[tuple[int, int, float]]:
+        """Sentences that reach into a run and have many rare pairs, with their score."""
+        if sum([r for _, r, _ in found.judged]) == 0:
+            return []
+        out, k, runs = [], 0, found.runs
         for m in SENTENCE.finditer(text):
             a, b = m.span()
-            if a == b or m.group().isascii() or not any(lo < b and a < hi for lo, hi in runs):
-                continue
-            around = text[max(0, a - 1) : b + 1]
-            pairs = [rare[p] for i in range(len(around) - 1) if not (p := around[i : i + 2]).isascii()]
-            if sum(pairs) >= 0.25 * len(pairs):
-                found.append((a, b, self.model.score(around)))
-        return found
+            rare = pairs = 0
+            while k < len(found.spans) and found.spans[k][0] < b:
+                rare, pairs = rare + found.judged[k][1], pairs + found.judged[k][2]
+                k += 1
+            if pairs and rare >= 0.25 * pairs and any(lo < b and a < hi for lo, hi in runs):
+                out.append((a, b, self.model.score(text[max(0, a - 1) : b + 1])))
+        return out
 
     def _sentences(self, text: str, sentences: list[tuple[int, int, float]], mapping: OneByte) -> list[tuple[int, int, str, float]]:
         found = []
         for a, b, old in sentences:
             new = mapping.restore(text[a:b])
-            if new is None or any(c > "\x7f" and ord(c) not in self.model.known for c in new):
+            if new is None or not self.model.familiar(new):
                 continue
             found.append((a, b, new, self.model.score(text[max(0, a - 1) : a] + new + text[b : b + 1]) - old))
         sure = any(gain > self.margin for *_, gain in found)
@@ -276,11 +306,13 @@ class Restorer:
             return None
         now = text
         for _ in range(MAX_LAYERS):
-            runs = improbable_runs(now, self.model)
-            if not runs:
+            found = improbable_runs(now, self.model)
+            if not found.runs:
                 break
-            best = max((self._chains(now, runs, r) for r in self.utf8), key=lambda o: sum(x[3] for x in o))
-            if sentences := self._doubtful(now, runs):
+            # byte groups lie within stretches of two characters at least
+            longer = " ".join({now[a:b] for a, b in found.spans if b - a > 1})
+            best = max((self._chains(now, longer, found.runs, r) for r in self.utf8), key=lambda o: sum(x[3] for x in o))
+            if sentences := self._doubtful(now, found):
                 best = max([best, *(self._sentences(now, sentences, m) for m in self.single)], key=lambda o: sum(x[3] for x in o))
             if not best:
                 break
