@@ -74,3 +74,9 @@ def html_to_text(a: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StringType())
 def escaped_html_to_text(a: pa.Array) -> pa.Array:
     return pa.array([unescaped_text(s) for s in a.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def html_parts_to_text(a: pa.Array) -> pa.Array:
+    """Texts of the fragments of each row; a null row stays null."""
+    return pa.array([None if row is None else [plain_text(s) for s in row] for row in a.to_pylist()], pa.list_(pa.string()))

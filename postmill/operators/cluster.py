@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import shingles
 from postmill.operators.boilerplate import boilerplate, compared_text
-from postmill.session import cut
+from postmill.session import cut, release
 
 
 def candidates(postings: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def leaders(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> DataFr
         seen = before.join(state.select(F.col("node").alias("other"), F.col("leads").alias("o")), "other")
         votes = seen.groupBy("node").agg(F.bool_or("o").alias("any"), F.count_if(F.col("o").isNull()).alias("waiting"))
         now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("any", F.lit(False)), F.lit(False)).when(F.coalesce("waiting", F.lit(0)) == 0, F.lit(True))
-        state = cut(state.join(votes, "node", "left").select("node", now.alias("leads")))
+        old, state = state, cut(state.join(votes, "node", "left").select("node", now.alias("leads")))
+        release(old)
         if state.where("leads is null").isEmpty():
             break
     else:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import cut
+from postmill.session import cut, release
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -27,8 +27,9 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         hooked = labels.join(sent, "node").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         # the labels' labels of the round before: still a node of the same component, never larger
-        labels = cut(hooked.join(jump, "component").select("node", "before", F.least("component", "further").alias("component")))
+        old, labels = labels, cut(hooked.join(jump, "component").select("node", "before", F.least("component", "further").alias("component")))
+        release(old)
         if labels.where("before <> component").isEmpty():
+            release(both)
             return labels.select("node", "component")
-        labels = labels.select("node", "component")
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

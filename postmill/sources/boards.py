@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill import schemas
-from postmill.functions.html_text import escaped_html_to_text, html_to_text
+from postmill.functions.html_text import escaped_html_to_text, html_parts_to_text
 from postmill.functions.text import normalize_whitespace, strip
 
 NORMALIZED = tuple(schemas.NORMALIZED.fieldNames())
@@ -41,14 +41,11 @@ def greenhouse_jobs(jobs: DataFrame) -> DataFrame:
 def lever_postings(postings: DataFrame) -> DataFrame:
     """Normalized jobs of rows shaped like a posting of the second board kind; other columns are kept."""
     keep = [c for c in postings.columns if c not in schemas.LEVER_POSTING.fieldNames()]
-    # list contents are HTML: the lists become one text with marks, are turned to text list by list and joined
-    rows = postings.withColumn("_key", F.monotonically_increasing_id())
     blank = F.lit("")
-    lists = rows.select("_key", F.posexplode("lists").alias("_i", "l")).select("_key", "_i", F.concat(F.lit("\n\n"), F.coalesce("l.text", blank), F.lit("\n"), html_to_text("l.content")).alias("part"))
-    joined = lists.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "part"))), lambda s: s["part"]), "").alias("_lists"))
-    rows = rows.join(joined, "_key", "left")
-    description = F.concat(F.coalesce("descriptionPlain", blank), F.coalesce("_lists", blank), F.when(F.col("additionalPlain").isNotNull(), F.concat(F.lit("\n\n"), "additionalPlain")).otherwise(blank))
-    return rows.select(
+    contents = html_parts_to_text(F.transform("lists", lambda l: l["content"]))
+    parts = F.zip_with(F.col("lists"), contents, lambda l, t: F.concat(F.lit("\n\n"), F.coalesce(l["text"], blank), F.lit("\n"), t))
+    description = F.concat(F.coalesce("descriptionPlain", blank), F.coalesce(F.array_join(parts, ""), blank), F.when(F.col("additionalPlain").isNotNull(), F.concat(F.lit("\n\n"), "additionalPlain")).otherwise(blank))
+    return postings.select(
         *keep,
         F.col("id").alias("external_id"),
         strip(F.col("text")).alias("title"),
