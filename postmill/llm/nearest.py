@@ -146,7 +146,7 @@ def _tiles(k: int, dim: int):
     return run
 
 
-def neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, block_rows: int = 131_072, min_blocks: int = 4) -> DataFrame:
+def neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, block_rows: int = 65_536, min_blocks: int = 4) -> DataFrame:
     """(id, nbr, sim, place): the k most similar other rows of every usable row, place from 1."""
     good = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), dim)).withColumn("class", F.xxhash64("vector"))
     classes = good.groupBy("class").agg(F.min(F.struct("id", "vector")).alias("rep"), F.count("*").alias("copies")).select("class", F.col("rep.id").alias("id"), F.col("rep.vector").alias("vector"))
