@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.operators.components import components
 from postmill.session import cut
 
 WORD = r"(?:[^\W_]|[+#])+"
@@ -149,3 +150,19 @@ def pairs(docs: DataFrame, id_col: str, block_col: str, text_col: str, **options
     across = near.join(left, "rep_a").join(right, "rep_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     within = left.join(right, (F.col("rep_a") == F.col("rep_b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     return across.unionByName(within).where("id_a < id_b").distinct()
+
+
+def groups(docs: DataFrame, id_col: str, block_col: str, text_col: str, **options) -> DataFrame:
+    """(id, group_id, links): every record that has a near-duplicate, the smallest id of its group, and how many
+    near-duplicates it has. Copies are counted, not expanded.
+    """
+    near, members = links(docs, id_col, block_col, text_col, **options)
+    near, members = cut(near), cut(members)
+    sizes = members.groupBy("rep").agg(F.countDistinct("id").alias("copies"))
+    both = near.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionByName(near.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
+    across = both.join(sizes.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("across"))
+    parts = components(near, "rep_a", "rep_b").select(F.col("node").alias("rep"), "component")
+    per_class = sizes.join(across, "rep", "left").join(parts, "rep", "left")
+    per_class = per_class.select("rep", (F.col("copies") - 1 + F.coalesce("across", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("group_id")).where("links > 0")
+    # a class' representative is its smallest id, so the smallest representative is the group's smallest id
+    return members.distinct().join(per_class, "rep").select("id", "group_id", "links")

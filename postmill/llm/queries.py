@@ -26,6 +26,18 @@ often AS (SELECT company_id, k FROM keyed WHERE k <> '' GROUP BY company_id, k H
 SELECT DISTINCT CAST(id AS BIGINT) AS posting_id, CAST(line_no AS BIGINT) AS line_no FROM keyed JOIN often USING (company_id, k)
 """
 
+def p3_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every description without the repeated lines."""
+    postings = table(spark, sf_dir, "job_postings")
+    lines = repeated_lines.repeated_lines(postings, "id", "company_id", "normalized_title", "description", min_documents=3)
+    return repeated_lines.stripped(postings, "id", "description", lines)
+
+
+P3_STRIPPED_SQL = P3_SQL.replace("SELECT DISTINCT CAST(id", ", gone AS (SELECT DISTINCT CAST(id") + """),
+kept AS (SELECT l.id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS description FROM lines l LEFT JOIN gone g ON g.posting_id = l.id AND g.line_no = l.line_no WHERE g.posting_id IS NULL GROUP BY l.id)
+SELECT p.id, coalesce(k.description, '') AS description FROM job_postings p LEFT JOIN kept k USING (id)"""
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.pairs(table(spark, sf_dir, "job_postings"), "id", "normalized_title", "description", threshold=0.7, shingle=4)
 
@@ -39,6 +51,17 @@ WHERE 10 * k >= 7 * (m + n - k)
 """
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting with near-duplicates: its group and the number of its near-duplicates."""
+    return near_duplicates.groups(table(spark, sf_dir, "job_postings"), "id", "normalized_title", "description", threshold=0.7, shingle=4)
+
+
+P4_GROUPS_SQL = P4_SQL.replace("WITH words", "WITH RECURSIVE words").replace("SELECT id_a, id_b FROM (", ", near AS (SELECT id_a, id_b FROM (") + """),
+e AS (SELECT id_a AS x, id_b AS y FROM near UNION SELECT id_b, id_a FROM near),
+reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y)
+SELECT x AS id, least(x, min(y)) AS group_id, (SELECT count(*) FROM e WHERE e.x = reach.x) AS links FROM reach GROUP BY x"""
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_values(table(spark, sf_dir, "job_postings"), table(spark, sf_dir, "ingestion_runs"))
 
@@ -107,5 +130,5 @@ def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_text(table(spark, sf_dir, "greenhouse"), "id", "content")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found}
-SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_stripped": p3_stripped, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found}
+SQL = {"p3_found": P3_SQL, "p3_stripped": P3_STRIPPED_SQL, "p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
