@@ -14,6 +14,9 @@ from postmill.functions.text import content_hash, title_key
 from postmill.operators import cluster, embed, search, snapshot
 from postmill.operators.embed import Embedder
 from postmill.session import cut
+from postmill.sources.boards import from_json_column
+from postmill.sources.documents import read_documents
+from postmill.sources.http import poll
 from postmill.state import VersionedTable
 
 _ONE_RUN = threading.Lock()
@@ -35,6 +38,13 @@ def normalized_postings(jobs: DataFrame) -> DataFrame:
     return snapshot.last_per_key(rows.select(*snapshot.KEY, "arrival", *snapshot.OVERWRITTEN, "posted_at"), snapshot.KEY, "arrival").drop("arrival")
 
 
+def payload_jobs(polled: DataFrame) -> DataFrame:
+    """Normalized jobs of board payloads (company_id, source, payload, error)."""
+    good = polled.where(F.col("error").isNull() & F.col("payload").isNotNull())
+    parts = [from_json_column(good.where(F.col("source") == s).select("company_id", "payload"), "payload", s) for s in schemas.SOURCES]
+    return parts[0].unionByName(parts[1])
+
+
 @dataclass
 class PostingService:
     """State lives in three versioned tables below ``folder``, which all executors share."""
@@ -134,10 +144,27 @@ class PostingService:
         query = [float(x) for x in self.embedder([text[: embed.MAX_CHARS]], "query")[0]]
         return search.match(self.posting_table.read(), self.company_table.read(), query, limit, location, over_fetch)
 
+    def match_document(self, path: str, limit: int = 25, location: str | None = None) -> DataFrame:
+        """Ranking by the text of an uploaded file; the limit is clamped."""
+        text = "\n".join(r.text for r in read_documents(self.spark, path).select("text").collect())  # the caller's one file
+        if not text.strip():
+            raise ValueError("no text could be read from the file")
+        return self.match(text, search.clamped(limit)[0], location)
+
+    def ingest_boards(self, templates: dict[str, str], run_at, timeout: float = 30) -> DataFrame | None:
+        """Polls the boards of all enabled companies and runs an ingestion over what they list."""
+        polled = cut(poll(self.spark, self.company_table.read(), templates, timeout))
+        return self.run_ingestion(payload_jobs(polled), polled.select("company_id", "error"), run_at)
+
     def postings_ranked(self) -> DataFrame:
         return search.postings_ranked(self.posting_table.read())
 
 
+def as_json(rows: DataFrame) -> DataFrame:
+    """One JSON object per row, in column ``value``."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def seed_companies(spark: SparkSession, csv_path: str) -> DataFrame:
     """The first table of companies from a CSV file with name, source, board_token."""
     rows = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in ("name", "source", "board_token")])).option("header", True).csv(csv_path)

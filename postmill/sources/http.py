@@ -46,3 +46,23 @@ class BoardReader(DataSourceReader):
                 yield url, answer.read().decode("utf-8"), None
         except Exception as e:
             yield url, None, error_text(str(e) or type(e).__name__)
+
+
+def poll(spark, companies, templates: dict[str, str], timeout: float = 30):
+    """(company_id, source, payload, error) of the boards of enabled companies.
+
+    templates: of each source the address with ``{token}`` in it. A company of a source without template has
+    an error, as has a board that can't be read.
+    """
+    from urllib.parse import quote
+
+    from pyspark.sql import functions as F
+
+    spark.dataSource.register(BoardSource)
+    # the list of boards is short configuration; each board is a partition of its own
+    rows = companies.where("enabled").select("id", "source", "board_token").collect()
+    urls = {templates[r.source].format(token=quote(r.board_token, safe="")): r for r in rows if r.source in templates}
+    known = spark.createDataFrame([(u, r.id, r.source) for u, r in urls.items()], "url string, company_id long, source string")
+    read = spark.read.format("boards").option("urls", json.dumps(list(urls))).option("timeout", str(timeout)).load()
+    lost = spark.createDataFrame([(r.id, r.source, None, f"no address for source {r.source}") for r in rows if r.source not in templates], "company_id long, source string, payload string, error string")
+    return read.join(F.broadcast(known), "url").select("company_id", "source", "payload", "error").unionByName(lost)  # one row per board

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postmill.plans.service import PostingService
+from postmill.plans.service import PostingService, payload_jobs
 from postmill.session import cut
-from postmill.sources.boards import from_json_column
 
 PAYLOADS = "company_id long, source string, payload string, error string, polled_at timestamp"
 
@@ -28,12 +27,7 @@ def ingest_batch(service: PostingService) -> Callable[[DataFrame, int], None]:
         at = rows.agg(F.max("polled_at")).head()[0]
         if at is None:
             return
-        good = rows.where(F.col("error").isNull() & F.col("payload").isNotNull())
-        jobs = None
-        for source in ("GREENHOUSE", "LEVER"):
-            part = from_json_column(good.where(F.col("source") == source).select("company_id", "payload"), "payload", source)
-            jobs = part if jobs is None else jobs.unionByName(part)
-        service.run_ingestion(jobs, rows.select("company_id", "error").distinct(), at)
+        service.run_ingestion(payload_jobs(rows), rows.select("company_id", "error").distinct(), at)
 
     return run
 
