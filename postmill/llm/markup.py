@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,6 +31,7 @@ KINDS = ("heading", "list_item", "code", "formula")
 TAG = re.compile(r"</?(?:p|div|ul|ol|li|h[1-6]|pre|br|table|tr|td|section|article|span|blockquote)\b[^<>]*>", re.I)
 ANY_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 BLOCK = frozenset("p div ul ol li h1 h2 h3 h4 h5 h6 pre table tr td th section article blockquote header footer dl dt dd".split())
+OWNERS = frozenset("li h1 h2 h3 h4 h5 h6 pre style script".split())
 SPACE = re.compile(r"[\s\u00a0\u200b]+")
 #: formula delimiters; a dollar opens before and closes after something that is no space, and no digit follows
 FORMULA = re.compile(r"\\\((?P<a>.+?)\\\)|\\\[(?P<b>.+?)\\\]|(?<!\\)\$\$(?P<c>.+?)\$\$|(?<![\\$\w])\$(?P<d>[^\s$](?:[^$\n]*?[^\s$\\])?)\$(?![\d$])|<math[^>]*>(?P<e>.+?)</math>", re.S | re.I)
@@ -44,7 +45,8 @@ class Leaf:
     owner: int  # leaves of one element share it
     blank_before: bool = True
     blank_after: bool = True
-    flags: dict = field(default_factory=dict)
+    stretch: int = 0  # leaves of one stretch of text were cut apart at formulas
+    raw: str | None = None  # of a formula candidate: with its delimiters
 
 
 def squeezed(text: str) -> str:
@@ -88,10 +90,10 @@ class _Html(HTMLParser):
         text = "".join(self.text)
         self.text = []
         if text.strip():
-            owner = next((o for t, o in reversed(self.stack) if t != "p" or not any(u == "li" for u, _ in self.stack)), 0)
-            # a paragraph in a list item belongs to the item
-            owner = next((o for t, o in reversed(self.stack) if t == "li"), owner) if any(t == "li" for t, _ in self.stack) and not any(t in ("pre", "style", "script") or t[0] == "h" and t[1:].isdigit() for t, _ in self.stack) else owner
-            self.leaves.append(Leaf(tuple(t for t, _ in self.stack), text, owner))
+            self.count += 1
+            # list items, headings and code own all their text; other text stands by itself
+            owner = next((o for t, o in reversed(self.stack) if t in OWNERS or t.endswith("@heading")), self.count)
+            self.leaves.append(Leaf(tuple(t for t, _ in self.stack), text, owner, stretch=self.count))
 
     def pop_to(self, tags: set[str], stop: set[str]) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -279,14 +281,13 @@ def split_formulas(leaves: list[Leaf]) -> list[Leaf]:
         if not VERBATIM.isdisjoint(leaf.path) or not re.search(r"[$\\]|<math", leaf.text):
             out.append(leaf)
             continue
+        cut = lambda path, text, raw=None: out.append(Leaf(path, text, leaf.owner, leaf.blank_before, leaf.blank_after, leaf.stretch, raw)) if text.strip() else None
         last = 0
         for m in FORMULA.finditer(leaf.text):
-            if leaf.text[last : m.start()].strip():
-                out.append(Leaf(leaf.path, leaf.text[last : m.start()], leaf.owner, leaf.blank_before, leaf.blank_after))
-            out.append(Leaf((*leaf.path, FORMULA_MARK[m.lastgroup]), m[m.lastgroup], leaf.owner, leaf.blank_before, leaf.blank_after, {"raw": m.group()}))
+            cut(leaf.path, leaf.text[last : m.start()])
+            cut((*leaf.path, FORMULA_MARK[m.lastgroup]), m[m.lastgroup], m.group())
             last = m.end()
-        if leaf.text[last:].strip():
-            out.append(Leaf(leaf.path, leaf.text[last:], leaf.owner, leaf.blank_before, leaf.blank_after))
+        cut(leaf.path, leaf.text[last:])
     return out
 
 
@@ -348,11 +349,15 @@ def _latex(s: str) -> str:
 PLAIN = {"html": lambda s: s, "markdown": _markdown, "wiki": _wiki, "latex": _latex}
 
 
-def elements(kind: str, leaves: list[Leaf], labels: list[str]) -> list[tuple[str, str]]:
-    """(label, body) of the elements in order, text included, skipped leaves left out."""
+def elements(kind: str, leaves: list[Leaf], labels: list[str], inline: bool = False) -> list[tuple[str, str]]:
+    """(label, body) of the elements in order, text included, skipped leaves left out.
+
+    A formula within an element is part of its body and also an element; with ``inline`` it is only the former,
+    between dollars.
+    """
     plain = PLAIN[kind]
     out: list[list] = []
-    at: dict[int, int] = {}
+    at: dict[int, tuple[int, int]] = {}  # owner to its element and the last stretch in it
     for leaf, label in zip(leaves, labels):
         if label == "skip":
             continue
@@ -360,24 +365,21 @@ def elements(kind: str, leaves: list[Leaf], labels: list[str]) -> list[tuple[str
             out.append(["code", leaf.text])
             continue
         if label == "formula":
-            out.append(["formula", leaf.text])
-            body = leaf.text
+            body = f"$ {leaf.text.strip()} $" if inline else leaf.text
+            if not inline:
+                out.append(["formula", leaf.text])
         else:
-            body = plain(leaf.flags.get("raw", leaf.text))
-        # leaves of one owner are one element; a formula within it stays part of its text
-        k = at.get(leaf.owner)
-        if label == "formula":
-            if k is not None:
-                out[k][1] += body
-            else:
-                at[leaf.owner] = len(out)
-                out.append(["", body])
-        elif k is None:
-            at[leaf.owner] = len(out)
-            out.append([label, body])
+            body = plain(leaf.text if leaf.raw is None else leaf.raw)
+        k, stretch = at.get(leaf.owner, (None, None))
+        own = "text" if label == "formula" and inline else "" if label == "formula" else label
+        if k is None:
+            k = len(out)
+            out.append([own, body])
         else:
-            out[k][0] = out[k][0] or label
-            out[k][1] += (" " if kind == "html" and leaf.path and leaf.path[-1] == "p" else "") + body
+            if label != "formula":
+                out[k][0] = label
+            out[k][1] += ("" if stretch == leaf.stretch else " ") + body
+        at[leaf.owner] = (k, leaf.stretch)
     return [(a, b) for a, b in ((label, squeezed(body)) for label, body in out) if a and b]
 
 
@@ -388,7 +390,7 @@ def _found(labeller: Labeller, whole: bool):
                 ids = batch.column("id").slice(at, 256).to_pylist()
                 docs = [leaves_of(t) if t and t.strip() else ("markdown", []) for t in batch.column("text").slice(at, 256).to_pylist()]
                 labels = labeller.label([leaves for _, leaves in docs])
-                parts = [elements(kind, leaves, ls) for (kind, leaves), ls in zip(docs, labels)]
+                parts = [elements(kind, leaves, ls, whole) for (kind, leaves), ls in zip(docs, labels)]
                 if whole:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([rendered(p) for p in parts], pa.string())], names=["id", "text"])
                     continue
@@ -399,8 +401,8 @@ def _found(labeller: Labeller, whole: bool):
 
 
 def rendered(parts: list[tuple[str, str]]) -> str:
-    """Clean text: '# ' before headings, '- ' before list items, code indented, formulas between dollars."""
-    marks = {"heading": "# {}", "list_item": "- {}", "code": "    {}", "formula": "$ {} $"}
+    """Clean text: '# ' before headings, '- ' before list items, code indented; formulas stand between dollars."""
+    marks = {"heading": "# {}", "list_item": "- {}", "code": "    {}"}
     return "\n".join(marks.get(k, "{}").format(b) for k, b in parts)
 
 

@@ -110,6 +110,11 @@ def test_escaping_layers(labeller):
     assert found(labeller, HTML.replace("<li>", "<LI>").replace("<h2", "<H2").replace("</h2>", "</H2>")) == HTML_FOUND
 
 
+def test_text_around_nested_elements(labeller):
+    assert found(labeller, "<ul><li>One<ul><li>Two</li></ul>tail</li></ul>") == {("list_item", "One tail"), ("list_item", "Two")}
+    assert found(labeller, "<h2>A $x$ b</h2><p>t</p>") == {("heading", "A x b"), ("formula", "x")}
+
+
 def test_spark_rows(spark):
     rows = [(1, HTML, "x", "y"), (1, HTML, "x", "y"), (2, None, "", ""), (3, "", "", ""), (4, " \n\u00a0", "", ""), (5, "plain text only", "", ""), (6, "- a\n" * 3000, "", ""), (7, "```\nopen " + "z" * 200_000, "", "")]
     df = spark.createDataFrame(rows, "id long, content string, kind string, body string")
@@ -117,7 +122,7 @@ def test_spark_rows(spark):
     assert len(got) == len(set(got)) and {(k, b) for i, k, b in got if i == 1} == HTML_FOUND
     assert {(i, k) for i, k, _ in got if i > 1} == {(6, "list_item"), (7, "code")}
     texts = {r.id: r.text for r in M.clean_text(df, "id", "content").collect()}
-    assert texts[2] == texts[3] == texts[4] == "" and texts[5] == "plain text only" and texts[1].startswith("# About R&D\nText with a^2 < b here.")
+    assert texts[2] == texts[3] == texts[4] == "" and texts[5] == "plain text only" and texts[1].startswith("# About R&D\nText with $ a^2 < b $ here. Pay runs from $4 to $97 an hour.\n- One bold\n- Deep one")
     assert M.found(df.limit(0), "id", "content").count() == 0
 
 
