@@ -12,12 +12,18 @@ one of 0.8 with 0.00003 (binomial tails); the whole-fingerprint bound of 40 of 1
 0.000001. Records with equal shingle sets in one block are one class, so copies cost linear work and can't
 be missed.
 
+Unrelated records of one block meet by chance with probability 0.1, which is too often in a block of very many.
+Where a block has more than ``large`` classes, each word is therefore led by whole minima (one more for every
+five times the size), which related records share with the probability of their similarity and others hardly
+ever; there are as many more words as keep the probability of a miss. Nothing else changes.
+
 Edge cases: null texts and texts of fewer words than a shingle have no shingles and no pairs; a null block
 key equals nothing; repeated ids count once; equal ids are no pair; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -34,6 +40,8 @@ from postmill.session import cut
 WORD = r"(?:[^\W_]|[+#])+"
 SKETCH = 128
 HAMMING = 40
+MISS = 0.0013
+LARGE = 20_000
 
 
 class _Hashes(dict):
@@ -111,23 +119,78 @@ def _sets(size: int):
     return run
 
 
+def word_probability(threshold: float, bits: int, radius: int) -> float:
+    """That two records of the threshold's similarity agree in a word up to the radius."""
+    p = (1 - threshold) / 2
+    return sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(radius + 1))
+
+
+def words_needed(threshold: float, bits: int, radius: int, leading: int) -> int:
+    """Words with ``leading`` whole minima before them that miss a pair no more often than MISS."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-word_probability(threshold, bits, radius) * threshold**leading)))
+
+
+def half_ball(bits: int, radius: int) -> list[int]:
+    """What to flip for all variants within half the radius."""
+    return [sum(1 << i for i in c) for r in range(radius // 2 + 1) for c in combinations(range(bits), r)]
+
+
+def _led_keys(size: int, threshold: float, bits: int, radius: int):
+    """(rep, keys): the variants of the led words of a large block's records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, masks = _Hashes(), np.array(half_ball(bits, radius), np.uint64)
+        weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        factors: dict[int, np.ndarray] = {}
+        for batch in batches:
+            leads, blocks = batch.column("leading").to_pylist(), batch.column("block").to_numpy().view(np.uint64)
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for i, shingles in enumerate(shingle_sets(batch.column("text").slice(at, 256).to_pylist(), size, hashes=hashes), at):
+                    lead = leads[i]
+                    n = words_needed(threshold, bits, radius, lead)
+                    if lead not in factors:
+                        factors[lead] = np.random.default_rng(77 + lead).integers(1, 2**63, n * (bits + lead), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                    with np.errstate(over="ignore"):
+                        low = np.full(n * (bits + lead), np.iinfo(np.uint64).max, np.uint64)
+                        for k in range(0, len(shingles), 1024):
+                            np.minimum(low, (shingles[k : k + 1024, None] * factors[lead][None, :]).min(axis=0), out=low)
+                        low = low.reshape(n, bits + lead)
+                        word = (((low[:, :bits] >> np.uint64(20)) & np.uint64(1)) * weights).sum(axis=1)
+                        head = np.full(n, blocks[i], np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                        for j in range(lead):
+                            head = (head ^ (head >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + low[:, bits + j]
+                        keys = (head[:, None] + (word[:, None] ^ masks[None, :])) * np.uint64(0xBF58476D1CE4E5B9)
+                        keys ^= keys >> np.uint64(31)
+                    rows.append(keys.ravel().view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(at, 256), pa.array(rows, pa.list_(pa.int64()))], names=["rep", "keys"])
+
+    return run
+
+
 def variants(block: Column, bits_of: Column, bits: int, tables: int, radius: int) -> Column:
     """The shuffle keys of a fingerprint: all variants within half the radius of each word."""
-    masks = [sum(1 << i for i in c) for r in range(radius // 2 + 1) for c in combinations(range(bits), r)]
-    keys = [F.array(*[F.lit(m) for m in masks]), F.array(*[F.lit(t) for t in range(tables)])]
+    keys = [F.array(*[F.lit(m) for m in half_ball(bits, radius)]), F.array(*[F.lit(t) for t in range(tables)])]
     word = lambda t: F.call_function("shiftrightunsigned", bits_of, t * F.lit(bits)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     return F.flatten(F.transform(keys[1], lambda t: F.transform(keys[0], lambda m: F.xxhash64(block, t, word(t).bitwiseXOR(m.cast("long"))))))
 
 
-def links(docs: DataFrame, id_col: str, block_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5, bits: int = 12, tables: int = 5, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, id_col: str, block_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5, bits: int = 12, tables: int = 5, radius: int = 2, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """(rep_a, rep_b, similarity) between class representatives, and the membership (id, rep)."""
     if bits * tables > 64:
         raise ValueError("the words must fit the first 64 bits of the fingerprint")
     text = docs.where(F.col(block_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(block_col).alias("block"), F.col(text_col).alias("text"))
     prints = cut(text.mapInArrow(_fingerprints(shingle), "id long, block long, n int, same long, s0 long, s1 long"))
     classes = prints.groupBy("block", "same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    crowded = classes.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
-    emitted = classes.join(crowded, "block", "left_semi").select("rep", "n", "s0", "s1", F.explode(variants(F.col("block"), F.col("s0"), bits, tables, radius)).alias("key"))
+    crowded = classes.groupBy("block").agg(F.count("*").alias("c")).where("c > 1")
+    most = crowded.agg(F.max("c")).head()[0] or 0
+    usual = crowded.where(F.col("c") <= large).select("block") if most > large else crowded.select("block")
+    emitted = classes.join(usual, "block", "left_semi").select("rep", "n", "s0", "s1", F.explode(variants(F.col("block"), F.col("s0"), bits, tables, radius)).alias("key"))
+    if most > large:
+        leading = (F.floor(F.log(F.col("c") / F.lit(large)) / F.lit(math.log(5))) + 1).cast("int").alias("leading")
+        led = classes.join(crowded.where(F.col("c") > large).select("block", leading), "block")
+        keys = text.select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"]).join(led.select("rep", "block", "leading"), "rep").mapInArrow(_led_keys(shingle, threshold, bits, radius), "rep long, keys array<long>")
+        emitted = emitted.unionByName(keys.join(led.select("rep", "n", "s0", "s1"), "rep").select("rep", "n", "s0", "s1", F.explode("keys").alias("key")))
     a, b = emitted.alias("a"), emitted.select(*[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "s0", "s1", "key")]).alias("b")
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b")))
     sizes = F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(threshold) - F.lit(1e-9)

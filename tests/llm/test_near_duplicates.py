@@ -26,8 +26,8 @@ def brute(rows, threshold, k):
     return out
 
 
-@pytest.mark.parametrize("threshold, k", [(0.7, 4), (0.8, 5)])
-def test_equals_brute_force(spark, threshold, k):
+@pytest.mark.parametrize("threshold, k, large", [(0.7, 4, 20_000), (0.8, 5, 20_000), (0.7, 4, 2), (0.8, 5, 15)])
+def test_equals_brute_force(spark, threshold, k, large):
     rng = random.Random(k)
     rows = []
     for g in range(12):
@@ -40,7 +40,7 @@ def test_equals_brute_force(spark, threshold, k):
             rows.append((len(rows), f"t{g % 5}", ", ".join(words), "r", "b"))
     rows += [(500, "t0", None, "", ""), (501, "t0", "a b", "", ""), (502, "t0", "", "", ""), (503, None, rows[0][2], "", ""), (504, "", "C++ and C# at home here", "", ""), (505, "", "c++ AND c# at home here", "", "")]
     rows += rows[:5]
-    got = [tuple(r) for r in N.pairs(spark.createDataFrame(rows, SCHEMA), "id", "title", "description", threshold=threshold, shingle=k).collect()]
+    got = [tuple(r) for r in N.pairs(spark.createDataFrame(rows, SCHEMA), "id", "title", "description", threshold=threshold, shingle=k, large=large).collect()]
     want = brute(rows, threshold, k)
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want) and (504, 505) in got
 
@@ -59,6 +59,11 @@ def test_nothing(spark):
         N.links(spark.createDataFrame([], SCHEMA), "id", "title", "description", bits=20, tables=9)
 
 
+def test_words_needed():
+    assert [N.words_needed(0.7, 12, 2, n) for n in range(4)] == [5, 10, 15, 23]
+    assert len(N.half_ball(12, 2)) == 13 and len(N.half_ball(8, 4)) == 1 + 8 + 28
+
+
 def test_shingle_sets_and_sketch():
     texts = ["a b c d e", None, "", "a b c", "A  b,C d-e", "x " * 10000]
     sets = N.shingle_sets(texts, 4)
