@@ -30,11 +30,16 @@ def candidates(postings: DataFrame) -> DataFrame:
 def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b), rank of a before b: pairs of nodes of one block with similarity >= threshold.
 
-    nodes: (node, block, rank, set), sets sorted and not empty.
+    nodes: (node, block, rank, set), sets not empty.
     """
     n = F.size("set")
-    prefix = F.greatest(n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1, F.lit(1))
-    tokens = nodes.select("node", "block", "rank", n.alias("n"), F.explode(F.slice("set", F.lit(1), prefix)).alias("token"))
+    prefix = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1, F.lit(1))
+    each = nodes.select("node", "block", "rank", n.alias("n"), F.explode("set").alias("token"))
+    # rare shingles come first: of a block's common ones few are among the first, and single ones meet nobody
+    often = each.groupBy("block", "token").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = each.join(often, ["block", "token"], "left").groupBy("node", "block", "rank", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "token"))).alias("all"))
+    first = ranked.select("node", "block", "rank", "n", F.explode(F.filter(F.slice("all", F.lit(1), prefix), lambda x: x["f"] > 1)).alias("t"))
+    tokens = cut(first.select("node", "block", "rank", "n", F.col("t.token").alias("token")))
     a, b = tokens.alias("a"), tokens.alias("b")
     sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - F.lit(1e-9)
     # ranks are structs of time and id: a total order
