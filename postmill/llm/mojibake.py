@@ -1,14 +1,17 @@
 """Garbled text from wrong character encoding: find it and restore it.
 
-1. Corpus statistics: all adjacent character pairs of all texts are counted (in PAIR_SLOTS hashed slots, so
-   what is sent to the executors has a fixed bound), and with them each pair's share of the corpus' mutual
+1. Corpus statistics: the adjacent character pairs of every different sentence are counted, each sentence
+   once, so that garbling does not become normal by being repeated (in PAIR_SLOTS hashed slots, so what is
+   sent to the executors has a fixed bound), and with them each pair's share of the corpus' mutual
    information, p(xy) log(p(xy) / p(x)p(y)).
 2. Improbable runs: pairs with a non-ASCII character that carry less than a threshold of that information
-   score positive, other pairs and distance negative; the maximum-scoring segments are the runs.
+   score positive, other pairs and distance negative; the maximum-scoring segments are the runs. A stretch
+   that an inverse mapping makes more probable is improbable whatever its information.
 3. Only inside the runs inverse mappings are tested. A text that was UTF-8 shows byte groups of UTF-8 spelled
    in the wrong encoding; chains of such groups are replaced. A text of a one-byte encoding read as another
    is mapped sentence by sentence. A mapping is kept if the pairs of the result are more probable in the
-   corpus. Layers are taken off until nothing improves.
+   corpus, by either count. Layers are taken off until nothing improves. Where only characters that stand alone would change
+   ("named Ð or Ñ"), counts with repetitions decide, unless other sentences show the same mapping.
 
 A garbled token that stands beside its own clean form in one sentence is a quotation and stays.
 
@@ -36,6 +39,8 @@ READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman", "cp850
 #: (written in, read as) of one-byte encodings
 SINGLE = (("cp1251", "cp1252"), ("cp1251", "latin-1"), ("cp1250", "cp1252"), ("cp1250", "latin-1"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"))
 MAX_LAYERS = 8
+#: for Spark: a piece begins with the white space that parts it from the one before, so no non-ASCII pair is lost
+PIECES = r"(?=\n)|(?<=[.!?])(?=\s)"
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)|[.!?](?!\s)[^\n.!?]*)*[.!?]*\s*|\n")
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
@@ -94,33 +99,49 @@ def slot(x: int, y: int) -> int:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, code, n): pair slots (0), characters (1) and the number of pairs (2) of a partition."""
-    pairs, chars, total = np.zeros(PAIR_SLOTS, np.int64), np.zeros(0x110000, np.int64), 0
+    """(kind, code, n): pair slots (0), characters (1) and the number of pairs (2) of a partition's texts; where
+    a column n says how often each text occurs, the same with repetitions (3, 4, 5)."""
+    pairs, chars, total = np.zeros((2, PAIR_SLOTS), np.int64), np.zeros((2, 0x110000), np.int64), [0, 0]
+    repeated = False
     for batch in batches:
+        repeated = "n" in batch.schema.names
         for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = part.column("text").to_pylist()
             # texts are set apart by line feeds
-            joined = "\n".join(t for t in batch.column("text").slice(at, 256).to_pylist() if t)
+            joined = "\n".join(t for t in texts if t)
             c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             if len(c) < 2:
                 continue
-            chars += np.bincount(c, minlength=0x110000)
             x, y = c[:-1], c[1:]
-            total += len(x)
-            some = (x > 127) | (y > 127)
-            x, y = x[some], y[some]
-            s = (x * 0x9E3779B1 + y * 0x85EBCA77 + (x ^ (y << 7))) & (PAIR_SLOTS - 1)
-            pairs += np.bincount(s, minlength=PAIR_SLOTS)
-    for kind, counts in ((0, pairs), (1, chars)):
-        codes = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), kind, np.int32)), pa.array(codes), pa.array(counts[codes])], names=["kind", "code", "n"])
-    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0]), pa.array([total])], names=["kind", "code", "n"])
+            some = np.flatnonzero((x > 127) | (y > 127))
+            s = x[some] * 0x9E3779B1 + y[some] * 0x85EBCA77 + (x[some] ^ (y[some] << 7))
+            s &= PAIR_SLOTS - 1
+            chars[0] += np.bincount(c, minlength=0x110000)
+            total[0] += len(x)
+            pairs[0] += np.bincount(s, minlength=PAIR_SLOTS)
+            if repeated:
+                times = np.repeat([n for t, n in zip(texts, part.column("n").to_pylist()) if t], [len(t) + 1 for t in texts if t])[:-1]
+                np.add.at(chars[1], c, times)
+                total[1] += int(times[:-1].sum())
+                np.add.at(pairs[1], s, times[some])
+    for k in (0, 1) if repeated else (0,):
+        for kind, counts in ((0, pairs[k]), (1, chars[k])):
+            codes = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), 3 * k + kind, np.int32)), pa.array(codes), pa.array(counts[codes])], names=["kind", "code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([3 * k + 2], pa.int32()), pa.array([0]), pa.array([total[k]])], names=["kind", "code", "n"])
 
 
 def corpus_statistics(docs: DataFrame, text: str) -> dict[str, np.ndarray]:
-    """Counts over all texts; at most PAIR_SLOTS + 0x110000 numbers come to the driver, whatever the corpus."""
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(_counts, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
+    """Counts over all different sentences, and with repetitions ("all_"); at most twice PAIR_SLOTS + 0x110000
+    numbers come to the driver, whatever the corpus."""
+    pieces = docs.select(F.explode(F.split(F.col(text), PIECES)).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    rows = pieces.mapInArrow(_counts, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
     kind, code, n = (rows.column(c).to_numpy() for c in ("kind", "code", "n"))
-    return {"slots": code[kind == 0], "slot_n": n[kind == 0], "chars": code[kind == 1], "char_n": n[kind == 1], "total": n[kind == 2]}
+    out = {}
+    for k, prefix in ((0, ""), (3, "all_")):
+        out |= {prefix + "slots": code[kind == k], prefix + "slot_n": n[kind == k], prefix + "chars": code[kind == k + 1], prefix + "char_n": n[kind == k + 1], prefix + "total": n[kind == k + 2]}
+    return out
 
 
 class _Cache(dict):
@@ -145,15 +166,29 @@ class Model:
     def __init__(self, stats: dict[str, np.ndarray], tau: float = 1e-3, rare: float = 2e-5, least: int = 3):
         self.total = max(int(stats["total"].sum()), 1)
         self.log_n = math.log(self.total)
-        self.pairs = dict(zip(stats["slots"].tolist(), (np.log(stats["slot_n"]) - self.log_n).tolist()))
-        self.chars = dict(zip(stats["chars"].tolist(), (np.log(stats["char_n"]) - self.log_n).tolist()))
-        self.known = {c for c, n in zip(stats["chars"].tolist(), stats["char_n"].tolist()) if n >= least}
+        self.pairs, self.chars = self._logs(stats, "", self.log_n)
+        every = "all_" if "all_total" in stats else ""
+        all_log_n = math.log(max(int(stats[every + "total"].sum()), 1))
+        self.all_pairs, _ = self._logs(stats, every, all_log_n)
+        self.all_floor = -all_log_n - 3.0
+        self.known = {c for c, n in zip(stats[every + "chars"].tolist(), stats[every + "char_n"].tolist()) if n >= least}
         self.floor = -self.log_n - 3.0
         self.tau, self.rare = tau, rare
+        self.utf8 = [Utf8ReadAs(e) for e in READ_AS]
+        self.single = [OneByte(w, r) for w, r in SINGLE]
+        # what no inverse mapping can start from
+        self.unmapped = re.compile("[^\x00-\x7f" + "".join(re.escape(chr(c)) for c in sorted({c for m in self.single for c in m.table})) + "]")
+        self.leads = re.compile("[" + "".join(re.escape(c) for c in sorted({c for r in self.utf8 for c, b in r.to_byte.items() if 0xC2 <= b <= 0xF4})) + "]")
+        self.log_p_of_all = _Cache(lambda pair: self.all_pairs.get(slot(ord(pair[0]), ord(pair[1])), self.all_floor) if not pair.isascii() else 0.0)
         self.log_p = _Cache(lambda pair: self._pair(ord(pair[0]), ord(pair[1])))
         self.info = _Cache(lambda pair: self._information(ord(pair[0]), ord(pair[1])))
+        self.gains = _Cache(self._gains)
         self.judged = _Cache(self._judged)
 
+    @staticmethod
+    def _logs(stats: dict[str, np.ndarray], prefix: str, log_n: float) -> tuple[dict[int, float], dict[int, float]]:
+        return tuple(dict(zip(stats[prefix + code].tolist(), (np.log(stats[prefix + n]) - log_n).tolist())) for code, n in (("slots", "slot_n"), ("chars", "char_n")))
+
     def _pair(self, x: int, y: int) -> float:
         if x < 128 and y < 128:
             return 0.0
@@ -173,17 +208,52 @@ class Model:
     def _judged(self, around: str) -> tuple[float, int, int]:
         """Of a stretch of non-ASCII characters with its neighbours: the score of its pairs, how many are rare,
         and how many there are."""
-        values = [self.info[around[i : i + 2]] for i in range(len(around) - 1)]
-        if not values:
+        if len(around) < 2:
             return 1.0, 1, 1
+        values = [self.info[around[i : i + 2]] for i in range(len(around) - 1)]
+        if self._better_one_byte(around):
+            return float(len(values)), len(values), len(values)
+        if self._better_utf8(around):
+            return float(len(values)), sum([v < self.rare for v in values]), len(values)
         low = sum([v < self.tau for v in values])
         return low - 0.25 * (len(values) - low), sum([v < self.rare for v in values]), len(values)
 
+    def _better_one_byte(self, around: str) -> bool:
+        """A mapping makes known characters of the stretch and pairs that are e times as probable on average."""
+        return max(self.gains[around]) > len(around) - 1
+
+    def _gains(self, around: str) -> tuple[float, ...]:
+        """What each one-byte mapping adds to the stretch's score; a sentence's gain is the sum of its stretches'."""
+        if self.unmapped.search(around):
+            return (-math.inf,) * len(self.single)
+        own, out = self.score(around), []
+        for m in self.single:
+            new = None if m.other.search(around) else around.translate(m.table)
+            out.append(self.score(new) - own if new is not None and self.familiar(new) else -math.inf)
+        return tuple(out)
+
+    def _better_utf8(self, around: str) -> bool:
+        """Byte groups are in it, and without them its pairs are no less probable on average."""
+        if not self.leads.search(around):
+            return False
+        own = self.score(around) / (len(around) - 1)
+        for reader in self.utf8:
+            if reader.chain.search(around):
+                new = reader.chain.sub(lambda m: reader.restore(m.group()) or m.group(), around)
+                if new != around and self.familiar(new) and self.score(new) >= own * max(len(new) - 1, 1):
+                    return True
+        return False
+
     def score(self, text: str) -> float:
         """Log probability of the pairs with a non-ASCII character."""
         log_p = self.log_p
         return sum([log_p[text[i : i + 2]] for i in range(len(text) - 1)])
 
+    def score_of_all(self, text: str) -> float:
+        """The same by counts with repetitions."""
+        log_p = self.log_p_of_all
+        return sum([log_p[text[i : i + 2]] for i in range(len(text) - 1)])
+
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
     """All maximum-scoring segments [a, b) of a row of scores, in linear time (Ruzzo and Tompa)."""
@@ -235,8 +305,7 @@ class Restorer:
 
     def __init__(self, model: Model, margin: float = 6.0):
         self.model, self.margin = model, margin
-        self.utf8 = [Utf8ReadAs(e) for e in READ_AS]
-        self.single = [OneByte(w, r) for w, r in SINGLE]
+        self.utf8, self.single = model.utf8, model.single
 
     def _chains(self, text: str, longer: str, runs: list[tuple[int, int]], reader: Utf8ReadAs) -> list[tuple[int, int, str, float]]:
         out: list[tuple[int, int, str, float]] = []
@@ -283,22 +352,40 @@ class Restorer:
         for m in SENTENCE.finditer(text):
             a, b = m.span()
             rare = pairs = 0
+            first = k
             while k < len(found.spans) and found.spans[k][0] < b:
                 rare, pairs = rare + found.judged[k][1], pairs + found.judged[k][2]
                 k += 1
-            if pairs and rare >= 0.25 * pairs and any(lo < b and a < hi for lo, hi in runs):
+            if pairs and rare >= 0.25 * pairs and any(lo < b and a < hi for lo, hi in runs) and self._may_gain(text, found.spans[first:k]):
                 out.append((a, b, self.model.score(text[max(0, a - 1) : b + 1])))
         return out
 
+    def _may_gain(self, text: str, spans: list[tuple[int, int]]) -> bool:
+        """Some one-byte mapping raises the score of these stretches together."""
+        gains = [self.model.gains[text[a - 1 if a else 0 : b + 1]] for a, b in spans]
+        return any([sum(g) > 0.4 for g in zip(*gains)])
+
     def _sentences(self, text: str, sentences: list[tuple[int, int, float]], mapping: OneByte) -> list[tuple[int, int, str, float]]:
         found = []
         for a, b, old in sentences:
             new = mapping.restore(text[a:b])
             if new is None or not self.model.familiar(new):
                 continue
-            found.append((a, b, new, self.model.score(text[max(0, a - 1) : a] + new + text[b : b + 1]) - old))
-        sure = any(gain > self.margin for *_, gain in found)
-        return [x for x in found if x[3] > (0.5 if sure else self.margin)]
+            before, after = text[max(0, a - 1) : a], text[b : b + 1]
+            gain = self.model.score(before + new + after) - old
+            if gain <= 0.5:
+                continue
+            of_all = self.model.score_of_all(before + new + after) - self.model.score_of_all(before + text[a:b] + after)
+            certain = of_all > self.margin or (gain > self.margin and not self._alone(text, a, b))
+            found.append((a, b, new, gain, certain))
+        sure = any(x[4] for x in found)
+        return [x[:4] for x in found] if sure else []
+
+    @staticmethod
+    def _alone(text: str, a: int, b: int) -> bool:
+        """All non-ASCII characters of the sentence stand alone, beside no letter or digit."""
+        spans = [m.span() for m in NON_ASCII.finditer(text, a, b)]
+        return all(hi - lo == 1 and not text[lo - 1 : lo].isalnum() and not text[hi : hi + 1].isalnum() for lo, hi in spans)
 
     def restore(self, text: str | None) -> str | None:
         """The restored text, or None if nothing in it is garbled."""

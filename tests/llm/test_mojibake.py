@@ -84,3 +84,11 @@ def test_spark_rows(spark, corpus):
     got = {r.id: r.restored for r in M.restored(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}
     assert got == {2000: SENTENCES["fr"], 2001: None, 2005: SENTENCES["fr"] + " x" * 100000}
     assert M.restored(spark.createDataFrame([], SCHEMA), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("lang, written, read", [("fr", "utf-8", "cp1252"), ("ru", "cp1251", "cp1252")])
+def test_a_third_of_all_rows_is_one_garbled_text(spark, corpus, lang, written, read):
+    bad, near = garble(SENTENCES[lang], written, read), 450
+    rows = [(i, t, "", "") for i, t in enumerate(corpus)] + [(2000 + i, bad + (f" No {i}." if i % 2 else ""), "", "") for i in range(near)]
+    got = {r.id: r.restored for r in M.restored(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}
+    assert got == {2000 + i: SENTENCES[lang] + (f" No {i}." if i % 2 else "") for i in range(near)}
