@@ -5,13 +5,17 @@ a leader itself. Set-based: leaders are the lexicographically first maximal inde
 similarity graph, and a duplicate's leader is its neighbour of smallest rank among them. The graph comes
 from an exact similarity join with prefix filtering: two sets of similarity t share one of the first
 n - ceil(t n) + 1 shingles in any common order, so only those are joined. Leaders are then settled in
-rounds, each a join and an aggregate; nothing is gathered per block.
+rounds, each a join and an aggregate; nothing is gathered per block. Once the links between open records
+are few, as those of long chains are, they are settled at once on the driver.
 
 Records of equal sets in a block are one node (their earliest), so groups of copies cost linear work.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,25 +54,56 @@ def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= (F.size("x") + F.size("y") - common) * F.lit(threshold) - F.lit(1e-9)).select("a", "b")
 
 
-def leaders(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _settled(links: list[tuple]) -> dict:
+    """Whether each open node leads. links: (node, earlier neighbour, None if that is open, else True if it
+    leads), and (node, None, None) for every open node.
+    """
+    waits, later, leads = {n: 0 for n, _, _ in links}, defaultdict(list), {}
+    for node, other, o in links:
+        if o:
+            leads[node] = False
+        elif other is not None:
+            waits[node] += 1
+            later[other].append(node)
+    ready = [n for n in waits if n in leads or not waits[n]]
+    while ready:
+        node = ready.pop()
+        lead = leads.setdefault(node, True)
+        for n in later.pop(node, ()):
+            waits[n] -= 1
+            if n not in leads and (lead or not waits[n]):
+                leads[n] = not lead
+                ready.append(n)
+    return leads
+
+
+def leaders(nodes: DataFrame, pairs: DataFrame, few: int = 200_000) -> DataFrame:
     """(node, leader): the first leader that each node resembles, null for leaders.
 
-    A node is settled once all its earlier neighbours are: it is a leader if none of them is one.
+    A node is settled once all its earlier neighbours are: it is a leader if none of them is one. Each round
+    settles one node at least; every fourth one looks whether at most ``few`` links are left.
     """
     ranks = nodes.select("node", "rank")
     before = cut(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
     touched = before.select("node").union(before.select("other")).distinct()
     state = cut(touched.select("node", F.lit(None).cast("boolean").alias("leads")))
-    for _ in range(max_rounds):
+    for done in count(1):
         seen = before.join(state.select(F.col("node").alias("other"), F.col("leads").alias("o")), "other")
         votes = seen.groupBy("node").agg(F.bool_or("o").alias("any"), F.count_if(F.col("o").isNull()).alias("waiting"))
         now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("any", F.lit(False)), F.lit(False)).when(F.coalesce("waiting", F.lit(0)) == 0, F.lit(True))
         old, state = state, cut(state.join(votes, "node", "left").select("node", now.alias("leads")))
         release(old)
-        if state.where("leads is null").isEmpty():
+        open_ = state.where("leads is null").select("node")
+        if open_.isEmpty():
             break
-    else:
-        raise RuntimeError(f"leaders have not settled after {max_rounds} rounds")
+        if done % 4 == 0:
+            others = state.where("leads is null or leads").select(F.col("node").alias("other"), F.col("leads").alias("o"))
+            links = before.join(open_, "node").join(others, "other").select("node", "other", "o")
+            rest = links.union(open_.select("node", F.lit(None).alias("other"), F.lit(None).cast("boolean").alias("o"))).limit(few + 1).collect()
+            if len(rest) <= few:
+                old, state = state, cut(state.where("leads is not null").union(state.sparkSession.createDataFrame(list(_settled(rest).items()), state.schema)))
+                release(old)
+                break
     lead = state.where("leads").select(F.col("node").alias("other")).join(ranks.withColumnRenamed("node", "other"), "other")
     first = before.join(lead, "other").groupBy("node").agg(F.min_by("other", "rank").alias("leader"))
     # neighbours of a leader that come before it are no leaders; its later ones can't be its leader

@@ -226,3 +226,12 @@ def test_embedding(spark):
     with pytest.raises(ConnectionError):
         embed.retrying(lambda t, r: (_ for _ in ()).throw(ConnectionError()), lambda e: False)(["a"], "query")
     assert embed.retryable_status(429) and embed.retryable_status(503) and not embed.retryable_status(404)
+
+
+@pytest.mark.parametrize("few", [(), (585,)])
+def test_drifting_chain_of_300_settles(spark, few):
+    """Each node resembles only the one before it: every second leads."""
+    nodes = spark.range(300).select(F.col("id").alias("node"), F.col("id").alias("rank"))
+    pairs = spark.range(299).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.node: r.leader for r in cluster.leaders(nodes, pairs, *few).collect()}
+    assert got == {i: i - 1 if i % 2 else None for i in range(300)}
