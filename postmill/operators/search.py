@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import like_escaped
@@ -105,6 +107,63 @@ def match(postings: DataFrame, companies: DataFrame, query: list[float], limit:
     return found.orderBy(F.col("exact").desc_nulls_last(), "id").limit(limit).select(round_half_up(F.col("exact"), 4).alias("score"), *SUMMARY[:-2])
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All dot products in the order and types of ``vectors.dot``: float products, summed in double."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        out += np.multiply.outer(a[:, i], b[:, i])
+    return out
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * a[:, i]
+    return np.sqrt(out)
+
+
+def _best_of_tile(limit: int, strip: int = 64):
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q_id, ids, score = [], [], []
+        q_ids, r_ids = queries["query_id"].to_numpy(), rows["id"].to_numpy()
+        if len(q_ids) and len(r_ids):
+            q = np.array(queries["vector"].to_pylist(), np.float32)
+            r = np.array(rows["vector"].to_pylist(), np.float32)
+            own = _norms(r)
+            for at in range(0, len(q), strip):
+                part = q[at : at + strip]
+                norms = _norms(part)[:, None] * own
+                sims = np.divide(_dots(part, r), norms, out=np.zeros(norms.shape), where=norms != 0)
+                for k, s in enumerate(sims):
+                    best = np.lexsort((r_ids, -s))[:limit]
+                    q_id.append(np.full(len(best), q_ids[at + k]))
+                    ids.append(r_ids[best])
+                    score.append(s[best])
+        join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
+        return pa.table({"query_id": join(q_id, np.int64), "id": join(ids, np.int64), "exact": join(score, np.float64)})
+
+    return run
+
+
+def match_all(postings: DataFrame, companies: DataFrame, queries: DataFrame, limit: int = 25, block_rows: int = 16_384) -> DataFrame:
+    """``match`` for every query (query_id, vector) at once: the best ``limit`` postings of each.
+
+    Blocks of queries meet blocks of postings, one tile a task, which keeps the best of each query. Vectors with
+    an element that is null or no finite number are passed over, queries too; lengths must be equal.
+    """
+    limit, _ = clamped(limit)
+    fine = lambda v: F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    rows = embedded(postings.join(companies.select(F.col("id").alias("company_id")), "company_id", "left_semi")).where(fine(F.col("embedding"))).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
+    asked = queries.where(fine(F.col("vector"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"))
+    g, h = (max(1, -(-t.count() // block_rows)) for t in (asked, rows))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select("*", F.size("vector").alias("n"), block("query_id", g).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
+    right = rows.select("*", F.size("vector").alias("n"), block("id", h).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"))
+    found = left.groupBy("n", "g", "h").cogroup(right.groupBy("n", "g", "h")).applyInArrow(_best_of_tile(limit), "query_id long, id long, exact double")
+    best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "id"))).where(F.col("place") <= limit)
+    return with_company(best.join(postings.drop("embedding"), "id"), companies).select("query_id", round_half_up(F.col("exact"), 4).alias("score"), *SUMMARY[:-2])
+
+
 def postings_ranked(postings: DataFrame) -> DataFrame:
     """How many postings a ranking looks at, those with vectors of another length too."""
     return embedded(postings).agg(F.count("*").alias("postings_ranked"))

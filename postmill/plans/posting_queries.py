@@ -199,6 +199,16 @@ def match_over_fetched(spark, d):
     return search.match(_finite(p), c, _query_vector(spark, d), location="remote", over_fetch=True)
 
 
+_RANKS = _RANK.replace("SELECT embedding AS v FROM embeddings WHERE vec_id = 0", "SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0").replace("scored AS (SELECT p.*,", "scored AS (SELECT q.vec_id, p.*,").replace(" AS score, id,", " AS score, vec_id AS query_id, id,")
+
+
+@query(f"SELECT * EXCLUDE (score0) FROM ({_RANKS}{_FINITE} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score0 DESC, id) <= 25)")
+def match_batch(spark, d):
+    """Every vector whose id is divisible by 100 is a query against all postings."""
+    p, c = _pc(spark, d)
+    return search.match_all(p, c, table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+
+
 @query(f"""WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, floor({_DOT.format(a="e.embedding", b="q.v")} / (sqrt({_DOT.format(a="e.embedding", b="e.embedding")}) * sqrt({_DOT.format(a="q.v", b="q.v")})) * 10000 + 0.5) / 10000 AS score FROM e, q""")
 def cosine_scores(spark, d):

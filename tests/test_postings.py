@@ -235,3 +235,15 @@ def test_drifting_chain_of_300_settles(spark, few):
     pairs = spark.range(299).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.node: r.leader for r in cluster.leaders(nodes, pairs, *few).collect()}
     assert got == {i: i - 1 if i % 2 else None for i in range(300)}
+
+
+def test_match_all_answers_every_query(spark):
+    rng = random.Random(5)
+    c = spark.createDataFrame(COMPANIES, schemas.COMPANIES)
+    p = postings(spark, *[posting(i, embedding=[rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(40)], posting(50, embedding=[1.0, 0.0]), posting(51, embedding=[float("nan")] * 3))
+    queries = [(0, [1.0, 0.5, 0.0]), (100, [0.0, -1.0, 2.0]), (200, [0.0, 0.0, 0.0]), (300, [1.0, 1.0])]
+    got = search.match_all(p, c, spark.createDataFrame(queries, "query_id long, vector array<float>"), 6, block_rows=10).collect()
+    finite = p.where("id <> 51")
+    for q, v in queries:
+        want = [(r.score, r.id) for r in search.match(finite, c, v, 6).collect()]
+        assert sorted((-r.score, r.id) for r in got if r.query_id == q) == sorted((-s, i) for s, i in want)
