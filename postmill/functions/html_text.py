@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 
 # A line break is put at the start of these elements.
 BREAKS = frozenset("br p div li h1 h2 h3 h4 h5 h6 tr".split())
-BLOCKS = BREAKS | frozenset("ul ol table section article header footer blockquote pre dl dt dd body html head title form hr main nav aside thead tbody".split())
+# A space is put at the start and the end of these.
+BLOCKS = BREAKS | frozenset(
+    "html head title body section article main nav aside header footer hgroup ul ol dl dt dd menu dir pre blockquote hr address figure figcaption "
+    "form fieldset details table caption colgroup col thead tbody tfoot th td ins del center video audio canvas template".split()
+)
 
 
 class _Text(HTMLParser):

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_live: dict[str, SparkSession] = {}  # tables that cut has written and nobody has removed yet
+_scopes = threading.local()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
@@ -17,23 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where neither that nor a
-    directory on the context is set (as in tests) a temporary one is made.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; only a local master, all of whose tasks run on
+    this machine, may go without: a temporary folder is made for it. Any other master without one is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="postmill-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="postmill-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table into the checkpoint folder and read back: its lineage is cut, every executor
-    can read it again, and readers take only the columns they need. Removed when the application ends.
+    can read it again, and readers take only the columns they need. Removed by ``release``, at the end of the
+    innermost ``scratch`` or, outside of any, when the application ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _live[path] = spark
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -42,12 +54,37 @@ def cut(df: DataFrame) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Removes the table of a ``cut`` that nothing will read again, as of an earlier round."""
     if path := getattr(df, "_cut_path", None):
-        _remove(df.sparkSession, path)
+        _remove(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end the tables that ``cut`` wrote inside, for calls of an application that goes on. A
+    DataFrame that reads one of them must not leave the block.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
     try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    spark = _live.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended; nothing can be done any more
-        pass
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_live):
+        try:
+            _remove(path)
+        except Exception as e:  # the JVM may have gone before; the other tables are tried all the same
+            print(f"could not remove {path}: {type(e).__name__}")
+            if isinstance(e, ConnectionError):
+                return
