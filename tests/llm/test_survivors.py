@@ -1,4 +1,7 @@
 import datetime as dt
+import random
+
+import pytest
 
 from postmill.llm import survivors as S
 
@@ -59,3 +62,62 @@ def test_reliable_sources_outvote(spark):
     w = {r.source: r.reliability for r in weights.collect()}
     assert w["r"] > 0.9 > 0.5 > w["u"]
     assert found(spark, [post(1, location="Graz"), post(2, 1, location="graz ", company=2), post(3, 1, location="Linz", company=3)], S.discovered_values) == {(1, "location"): 1}
+
+
+def plain_loop(claims):
+    """The same estimates by plain loops over all claims."""
+    rows = {(g, f, i, s): (v, r) for g, f, i, s, v, r in claims if v is not None}
+    weight = {k[3]: S.PRIOR for k in rows}
+    fields = {k[:2] for k in rows}
+    chosen = None
+    while True:
+        now = {}
+        for field in fields:
+            own = [(i, s, v, r) for (g, f, i, s), (v, r) in rows.items() if (g, f) == field]
+            best = []
+            for v, r in {(v, r) for _, _, v, r in own}:
+                backing = [s for _, s, v2, r2 in own if (v2 == v if r is None else r2 <= r)]
+                best.append((round(sum(weight[s] for s in backing), 9), r or 0, -min(i for i, _, v2, _ in own if v2 == v), v))
+            now[field] = max(best)
+        if chosen is not None and all(now[f][3] == chosen[f][3] for f in fields):
+            return {f: (b[3], -b[2]) for f, b in now.items()}, weight
+        chosen = now
+        for s in weight:
+            own = [v == chosen[k[:2]][3] for k, (v, _) in rows.items() if k[3] == s]
+            weight[s] = (sum(own) + S.PRIOR * S.PRIOR_CLAIMS) / (len(own) + S.PRIOR_CLAIMS)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_discovery_equals_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    honest = {f"s{i}": rng.random() for i in range(7)}
+    claims = []
+    for i in range(400):
+        g, source = rng.randrange(25), rng.choice(list(honest))
+        claims.append((g, "free", i, source, "true" if rng.random() < honest[source] else rng.choice("abc"), None))
+        rank = rng.randrange(4)
+        claims.append((g, "ordered", i, source, rng.choice([str(rank), None]), rank))
+    df = spark.createDataFrame(claims, "group_id long, field_name string, id long, source string, value string, rank long")
+    chosen, weights = S.discover(df.union(df.limit(30)))
+    want, weight = plain_loop(claims)
+    assert {(r.group_id, r.field_name): (r.value, r.id) for r in chosen.collect()} == want
+    assert {r.source: round(r.reliability, 6) for r in weights.collect()} == {s: round(w, 6) for s, w in weight.items()}
+    # an ordered field is decided by its order, whoever claims it
+    best = {}
+    for g, f, i, _, v, r in claims:
+        if f == "ordered" and v is not None:
+            best[g] = max(best.get(g, (-1, 0)), (r, -i))
+    assert {g: v for (g, f), v in want.items() if f == "ordered"} == {g: (str(r), -i) for g, (r, i) in best.items()}
+
+
+def test_a_rank_cut_over_slices_has_all_votes(spark):
+    # one group, two ranks, very many sources: every slice of the range sort holds a part of a rank
+    claims = [(1, "f", i, f"s{i}", str(i % 2), i % 2) for i in range(3000)]
+    df = spark.createDataFrame(claims, "group_id long, field_name string, id long, source string, value string, rank long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert S.ballot(df).select("slice").distinct().count() > 1
+        (row,) = S.discover(df)[0].collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (row.value, row.id) == ("1", 1)
