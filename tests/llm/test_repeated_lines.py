@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.llm import repeated_lines as R
 
@@ -34,11 +36,61 @@ def test_equals_brute_force(spark, parts):
     assert len(found) == len(set(found)) and set(found) == brute(rows, 3)
 
 
-def test_blocks_of_several_lines(spark):
-    rows = [(i, 1, f"t{i}", f"head {i}\nfirst\nsecond\nthird\ntail {i}", "", "") for i in range(4)] + [(9, 1, "t9", "first\nother", "", "")]
-    array = R.suffixes(spark.createDataFrame(rows, SCHEMA), "id", "company_id", "title", "description", 4)
-    lengths = sorted(r.length for r in R.repeated_blocks(array, 4, 3).collect())
-    assert lengths == [1, 1, 1, 2, 2, 3]
+def longest(rows, least):
+    """The longest block of at least ``least`` titles at each line, by comparing all of them."""
+    spans, docs = {}, {}
+    for i, c, t, d, *_ in rows:
+        docs[i] = c, ["".join(ch for ch in line.lower() if ch.isalnum()) for line in d.split("\n")]
+        ls = docs[i][1]
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if not ls[b - 1]:
+                    break
+                spans.setdefault((c, tuple(ls[a:b])), set()).add(t)
+    out = {}
+    for i, (c, ls) in docs.items():
+        for a in range(len(ls)):
+            n = max((b - a for b in range(a + 1, len(ls) + 1) if "" not in ls[a:b] and len(spans[c, tuple(ls[a:b])]) >= least), default=0)
+            if n:
+                out[i, a + 1] = n
+    return out
+
+
+def test_longest_blocks_equal_brute_force(spark):
+    rng = random.Random(3)
+    blocks = [[f"block {b} {j}" for j in range(n)] for b, n in enumerate((1, 2, 3, 4, 5, 7, 16, 19, 20, 21, 37, 70))]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            block = rng.choice(blocks)
+            a = rng.randint(0, len(block) // 3)
+            lines += rng.choice([block, block[a:], block[: len(block) - a], ["--"], [f"own {i} {rng.random()}"], ["same"] * rng.randint(1, 6)])
+        rows.append((i, rng.choice([1, 1, 2]), rng.choice("abcdef"), "\n".join(lines), "", ""))
+    want = longest(rows, 3)
+    df = R.identified(spark.createDataFrame(rows, SCHEMA), "id", "company_id", "title", "description")
+    assert {(r.doc, r.line_no): r.length for r in R.longest_blocks(R.cut(df), 3).collect()} == want
+    outer = {(r.doc, r.line_no): r.length for r in R.repeated_blocks(spark.createDataFrame(rows + rows[:9], SCHEMA), "id", "company_id", "title", "description", 3).collect()}
+    assert outer == {(i, a): n for (i, a), n in want.items() if want.get((i, a - 1), 0) - 1 < n}
+    assert max(want.values()) > 64
+
+
+def test_chunk_names_stop_at_breaks():
+    ids = np.arange(1, 41, dtype=np.uint64)
+    there = np.ones(40, bool)
+    there[20] = False
+    names, ok = R.chunk_names(ids, there, 2)
+    assert len(names) == 25 and ok.tolist() == [a + 16 <= 20 or a > 20 for a in range(25)]
+    assert len(set(names.tolist())) == 25 and len(R.chunk_names(ids[:3], there[:3], 1)[0]) == 0
+
+
+def test_equal_suffixes_are_spread(spark):
+    rows = [(i, 1, f"t{i % 3}", "Same line", "", "") for i in range(20_000)]
+    df = R.identified(spark.createDataFrame(rows, SCHEMA), "id", "company_id", "title", "description").select("*", F.lit(None).cast("array<struct<line:bigint,length:bigint,prefix:bigint>>").alias("at"))
+    array = df.mapInArrow(R._suffixes(0), R._SUFFIX)
+    sizes = [r["count"] for r in array.repartitionByRange(8, "source", "prefix", *R.CHUNKS, "doc", "line_no").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sorted(sizes)[4]
+    assert R.wide_intervals(array, 3).count() == 1
 
 
 def test_a_line_in_every_document(spark):
