@@ -1,21 +1,18 @@
 """Near-duplicate records with small edits: meet-in-the-middle ball hashing.
 
 A record's fingerprint is a row of one-bit minima of its shingle set under random hashes; two records of
-Jaccard similarity s differ in each bit with probability (1-s)/2. The fingerprint is read as ``tables``
-words of ``bits`` bits. Of every word a record emits all variants within half the radius; two words within
-the radius of each other meet in a common variant, so a shuffle on (block, table, variant) brings them
-together. Colliding pairs are thinned by the Hamming distance of the whole fingerprint, deduplicated and
+Jaccard similarity s differ in each bit with probability (1-s)/2. The fingerprint is read as words of BITS bits.
+Of every word a record emits all variants within half the radius; two words within the radius of each other meet
+in a common variant, so a shuffle on (block, place of the word, variant) brings them together. Colliding pairs are thinned by the Hamming distance of the whole fingerprint, deduplicated and
 verified by the exact similarity of the shingle sets.
 
-With the default 5 words of 12 bits and radius 2 a pair of similarity 0.7 is missed with probability 0.0013,
-one of 0.8 with 0.00003 (binomial tails); the whole-fingerprint bound of 40 of 128 bits adds less than
-0.000001. Records with equal shingle sets in one block are one class, so copies cost linear work and can't
-be missed.
-
-Unrelated records of one block meet by chance with probability 0.1, which is too often in a block of very many.
-Where a block has more than ``large`` classes, each word is therefore led by whole minima (one more for every
-five times the size), which related records share with the probability of their similarity and others hardly
-ever; there are as many more words as keep the probability of a miss. Nothing else changes.
+A word of 12 bits and radius 2 is shared by unrelated records with probability 0.02. So that a record meets about
+as many of them in a block of any size, words grow with the logarithm of the block's size: what is beyond 12 bits
+must agree exactly. There are as many words as keep the probability of a miss: MISS at the threshold, which is
+5 words of 12 bits for a similarity of 0.7, 9 of 14 bits in a block of 30,000, 21 of 18 in one of 500,000; the
+fingerprint is as long as the largest block needs. At 0.8 a pair is missed with probability 0.00003 (5 words). The
+whole-fingerprint bound of 40 of the first 128 bits adds less than 0.000001. Records with equal shingle sets in one
+block are one class, so copies cost linear work and can't be missed.
 
 Edge cases: null texts and texts of fewer words than a shingle have no shingles and no pairs; a null block
 key equals nothing; repeated ids count once; equal ids are no pair; extra columns are ignored.
@@ -41,7 +38,7 @@ WORD = r"(?:[^\W_]|[+#])+"
 SKETCH = 128
 HAMMING = 40
 MISS = 0.0013
-LARGE = 20_000
+BITS, RADIUS = 12, 2
 
 
 class _Hashes(dict):
@@ -76,13 +73,13 @@ def shingle_sets(texts: list[str | None], size: int, pattern: str = WORD, hashes
     return [np.unique(h[e - l : e - size + 1]) if l >= size else empty for e, l in zip(ends.tolist(), lengths.tolist())]
 
 
-def _factors() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _factors(bits: int) -> np.ndarray:
+    return np.random.default_rng(20240229).integers(1, 2**63, bits, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sketch(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """SKETCH one-bit minima as two 64-bit numbers."""
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    """One-bit minima, 64 to a number; as many as there are factors."""
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(shingles), 4096):
             np.minimum(low, (shingles[i : i + 4096, None] * factors[None, :]).min(axis=0), out=low)
@@ -90,9 +87,9 @@ def sketch(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _fingerprints(size: int):
+def _fingerprints(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, hashes = _factors(), _Hashes()
+        factors, hashes = _factors(bits), _Hashes()
         for batch in batches:
             ids, blocks = batch.column("id"), batch.column("block")
             for at in range(0, batch.num_rows, 512):
@@ -103,7 +100,8 @@ def _fingerprints(size: int):
                 sketches = np.stack([sketch(sets[i], factors) for i in rows])
                 take = pa.array([at + i for i in rows])
                 same = [xxhash.xxh64_intdigest(sets[i].tobytes()) - 2**63 for i in rows]
-                yield pa.RecordBatch.from_arrays([ids.take(take), blocks.take(take), pa.array([len(sets[i]) for i in rows], pa.int32()), pa.array(same, pa.int64()), pa.array(sketches[:, 0]), pa.array(sketches[:, 1])], names=["id", "block", "n", "same", "s0", "s1"])
+                more = pa.array(list(sketches[:, 2:]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.take(take), blocks.take(take), pa.array([len(sets[i]) for i in rows], pa.int32()), pa.array(same, pa.int64()), pa.array(sketches[:, 0]), pa.array(sketches[:, 1]), more], names=["id", "block", "n", "same", "s0", "s1", "more"])
 
     return run
 
@@ -119,78 +117,70 @@ def _sets(size: int):
     return run
 
 
-def word_probability(threshold: float, bits: int, radius: int) -> float:
-    """That two records of the threshold's similarity agree in a word up to the radius."""
+def word_probability(threshold: float, bits: int, exact: int) -> float:
+    """That two records of the threshold's similarity agree in ``bits`` bits up to the radius and in ``exact`` others."""
     p = (1 - threshold) / 2
-    return sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(radius + 1))
+    return sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(RADIUS + 1)) * (1 - p) ** exact
+
+
+def words_needed(threshold: float, exact: int) -> int:
+    """Words that miss a pair of the threshold's similarity no more often than MISS."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-word_probability(threshold, BITS, exact)) - 1e-6))
 
 
-def words_needed(threshold: float, bits: int, radius: int, leading: int) -> int:
-    """Words with ``leading`` whole minima before them that miss a pair no more often than MISS."""
-    return max(1, math.ceil(math.log(MISS) / math.log1p(-word_probability(threshold, bits, radius) * threshold**leading)))
+def exact_bits(block: Column) -> Column:
+    """Bits beyond the first 12 of the words of a block of so many records: a record meets by chance about as many
+    as in a block of 2^13."""
+    return F.greatest(F.ceil(F.log2(block)).cast("int") - (BITS + 1), F.lit(0))
 
 
-def half_ball(bits: int, radius: int) -> list[int]:
+def half_ball() -> list[int]:
     """What to flip for all variants within half the radius."""
-    return [sum(1 << i for i in c) for r in range(radius // 2 + 1) for c in combinations(range(bits), r)]
+    return [sum(1 << i for i in c) for r in range(RADIUS // 2 + 1) for c in combinations(range(BITS), r)]
 
 
-def _led_keys(size: int, threshold: float, bits: int, radius: int):
-    """(rep, keys): the variants of the led words of a large block's records."""
+def _variants(threshold: float):
+    """(rep, n, s0, s1, keys): the shuffle keys of a record, all variants within half the radius of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, masks = _Hashes(), np.array(half_ball(bits, radius), np.uint64)
-        weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-        factors: dict[int, np.ndarray] = {}
+        masks = np.array(half_ball(), np.uint64)
         for batch in batches:
-            leads, blocks = batch.column("leading").to_pylist(), batch.column("block").to_numpy().view(np.uint64)
-            for at in range(0, batch.num_rows, 256):
-                rows = []
-                for i, shingles in enumerate(shingle_sets(batch.column("text").slice(at, 256).to_pylist(), size, hashes=hashes), at):
-                    lead = leads[i]
-                    n = words_needed(threshold, bits, radius, lead)
-                    if lead not in factors:
-                        factors[lead] = np.random.default_rng(77 + lead).integers(1, 2**63, n * (bits + lead), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            blocks, exact = batch.column("block").to_numpy().view(np.uint64), batch.column("exact").to_numpy()
+            more = batch.column("more").flatten().to_numpy().reshape(batch.num_rows, -1)
+            numbers = np.column_stack([batch.column("s0").to_numpy(), batch.column("s1").to_numpy(), more])
+            bits = np.unpackbits(np.ascontiguousarray(numbers).view(np.uint8), axis=1, bitorder="little")
+            for e in np.unique(exact):
+                own = np.flatnonzero(exact == e)
+                n, width = words_needed(threshold, int(e)), BITS + int(e)
+                weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+                for at in range(0, len(own), 2048):
+                    part = own[at : at + 2048]
+                    words = bits[part, : n * width].reshape(len(part), n, width).astype(np.uint64) @ weights
                     with np.errstate(over="ignore"):
-                        low = np.full(n * (bits + lead), np.iinfo(np.uint64).max, np.uint64)
-                        for k in range(0, len(shingles), 1024):
-                            np.minimum(low, (shingles[k : k + 1024, None] * factors[lead][None, :]).min(axis=0), out=low)
-                        low = low.reshape(n, bits + lead)
-                        word = (((low[:, :bits] >> np.uint64(20)) & np.uint64(1)) * weights).sum(axis=1)
-                        head = np.full(n, blocks[i], np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                        for j in range(lead):
-                            head = (head ^ (head >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + low[:, bits + j]
-                        keys = (head[:, None] + (word[:, None] ^ masks[None, :])) * np.uint64(0xBF58476D1CE4E5B9)
+                        head = (blocks[part][:, None] + np.arange(n, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+                        keys = (words[:, :, None] ^ masks) + (head ^ (head >> np.uint64(29)))[:, :, None]
+                        keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
                         keys ^= keys >> np.uint64(31)
-                    rows.append(keys.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(at, 256), pa.array(rows, pa.list_(pa.int64()))], names=["rep", "keys"])
+                    flat = pa.array(keys.ravel().view(np.int64))
+                    ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * (n * len(masks)))
+                    take = pa.array(part)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("rep", "n", "s0", "s1")), pa.ListArray.from_arrays(ends, flat)], names=["rep", "n", "s0", "s1", "keys"])
 
     return run
 
 
-def variants(block: Column, bits_of: Column, bits: int, tables: int, radius: int) -> Column:
-    """The shuffle keys of a fingerprint: all variants within half the radius of each word."""
-    keys = [F.array(*[F.lit(m) for m in half_ball(bits, radius)]), F.array(*[F.lit(t) for t in range(tables)])]
-    word = lambda t: F.call_function("shiftrightunsigned", bits_of, t * F.lit(bits)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    return F.flatten(F.transform(keys[1], lambda t: F.transform(keys[0], lambda m: F.xxhash64(block, t, word(t).bitwiseXOR(m.cast("long"))))))
-
-
-def links(docs: DataFrame, id_col: str, block_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5, bits: int = 12, tables: int = 5, radius: int = 2, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, id_col: str, block_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rep_a, rep_b, similarity) between class representatives, and the membership (id, rep)."""
-    if bits * tables > 64:
-        raise ValueError("the words must fit the first 64 bits of the fingerprint")
     text = docs.where(F.col(block_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(block_col).alias("block"), F.col(text_col).alias("text"))
-    prints = cut(text.mapInArrow(_fingerprints(shingle), "id long, block long, n int, same long, s0 long, s1 long"))
-    classes = prints.groupBy("block", "same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    crowded = classes.groupBy("block").agg(F.count("*").alias("c")).where("c > 1")
-    most = crowded.agg(F.max("c")).head()[0] or 0
-    usual = crowded.where(F.col("c") <= large).select("block") if most > large else crowded.select("block")
-    emitted = classes.join(usual, "block", "left_semi").select("rep", "n", "s0", "s1", F.explode(variants(F.col("block"), F.col("s0"), bits, tables, radius)).alias("key"))
-    if most > large:
-        leading = (F.floor(F.log(F.col("c") / F.lit(large)) / F.lit(math.log(5))) + 1).cast("int").alias("leading")
-        led = classes.join(crowded.where(F.col("c") > large).select("block", leading), "block")
-        keys = text.select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"]).join(led.select("rep", "block", "leading"), "rep").mapInArrow(_led_keys(shingle, threshold, bits, radius), "rep long, keys array<long>")
-        emitted = emitted.unionByName(keys.join(led.select("rep", "n", "s0", "s1"), "rep").select("rep", "n", "s0", "s1", F.explode("keys").alias("key")))
+    crowded = text.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block", exact_bits(F.col("c")).alias("exact"))
+    most = crowded.agg(F.max("exact")).head()[0] or 0
+    bits = max(SKETCH, -(-max(words_needed(threshold, e) * (BITS + e) for e in range(most + 1)) // 64) * 64)
+    prints = cut(text.mapInArrow(_fingerprints(shingle, bits), "id long, block long, n int, same long, s0 long, s1 long, more array<long>"))
+    # equal sets have equal hashes, sizes and fingerprints
+    of_class = ["block", "same", "n", "s0", "s1"]
+    classes = prints.groupBy(*of_class).agg(F.min("id").alias("rep"), F.first("more").alias("more"))
+    sent = classes.join(crowded, "block").select("rep", "block", "n", "s0", "s1", "more", "exact")
+    emitted = sent.mapInArrow(_variants(threshold), "rep long, n int, s0 long, s1 long, keys array<long>").select("rep", "n", "s0", "s1", F.explode("keys").alias("key"))
     a, b = emitted.alias("a"), emitted.select(*[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "s0", "s1", "key")]).alias("b")
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b")))
     sizes = F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(threshold) - F.lit(1e-9)
@@ -202,7 +192,7 @@ def links(docs: DataFrame, id_col: str, block_col: str, text_col: str, threshold
     common = F.size(F.array_intersect("x", "y"))
     scored = both.select("rep", "rep_b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u"))
     near = scored.where(F.col("i") >= F.col("u") * F.lit(threshold) - F.lit(1e-9)).select(F.col("rep").alias("rep_a"), "rep_b", (F.col("i") / F.col("u")).alias("similarity"))
-    return near, prints.join(classes.select("block", "same", "rep"), ["block", "same"]).select("id", "rep")
+    return near, prints.join(classes.select(*of_class, "rep"), of_class).select("id", "rep")
 
 
 def pairs(docs: DataFrame, id_col: str, block_col: str, text_col: str, **options) -> DataFrame:
