@@ -1,13 +1,14 @@
 """Most similar vectors for every vector: a block matrix join.
 
 Vectors are split into g blocks by the hash of their id; each of the g(g+1)/2 block pairs is one tile, one
-partition, one task. A tile multiplies int8 quantisations (whole numbers, exact in the float32 product) and
-turns each product into a bound of the cosine by the quantisation errors. A pair whose upper bound reaches
-the lower bound of a row's k-th best so far survives, is recomputed in float64 and merged into the row's
-heap of k. The rows' heaps of all tiles are merged at the end. No pair that belongs to the result is lost.
+partition, one task. A tile quantises its vectors to int8 and multiplies these whole numbers; the sums stay below
+2^24, so the product is exact although the library's fast product is that of float32. Scaled, it bounds the cosine by
+the quantisation errors. A pair whose upper bound reaches the lower bound of a row's k-th best so far survives, is
+recomputed in float64 from the vectors, which the tile has at hand, and merged into the row's heap of k. The rows'
+heaps of all tiles are merged at the end. No pair that belongs to the result is lost.
 
-Exact copies of a vector are one row of the join (a class with its k+1 smallest ids), so a group of copies
-of any size costs linear work; copies are each other's nearest.
+Exact copies of a vector, told by two hashes of 64 bits, are one row of the join (a class with its k+1 smallest ids),
+so a group of copies of any size costs linear work; copies are each other's nearest.
 
 Each vector is sent to g tiles. g is the least of which two blocks of ``block_rows`` vectors hold all rows
 (at least ``min_blocks``): memory per task is bounded, the shuffle grows with the number of blocks.
@@ -80,21 +81,22 @@ def _tile(ia: np.ndarray, a: np.ndarray, ib: np.ndarray | None, b: np.ndarray |
     ib = ia if same else ib
     qa, sa, ea, na = quantise(ua)
     qb, sb, eb, nb = (qa, sa, ea, na) if same else quantise(ub)
-    fb = qb.astype(np.float32).T.copy()
+    if 127 * 127 * a.shape[1] >= 2**24:
+        raise ValueError("the whole numbers of longer vectors are not exact in float32")
+    fa, fb = qa.astype(np.float32), qb.astype(np.float32).T.copy()
     heap_a, heap_b = Heaps(len(ia), k), None if same else Heaps(len(ib), k)
     heap_b = heap_a if same else heap_b
     # |cos - product| <= |approx a| * error b + error a (a unit vector b), plus rounding
-    sb32 = sb.astype(np.float32)
+    sa32, sb32 = sa.astype(np.float32)[:, None], sb.astype(np.float32)
     worst_b, worst_nb = float(eb.max(initial=0.0)), float(nb.max(initial=0.0))
     for i in range(0, len(ia), STRIP):
         rows = slice(i, min(i + STRIP, len(ia)))
-        left = qa[rows].astype(np.float32) * sa[rows].astype(np.float32)[:, None]
         slack_a = na[rows] * worst_b + ea[rows] + 1e-5
         slack_b = worst_nb * float(ea[rows].max()) + eb + 1e-5
         width = STRIP * 4
         for j in range(i if same else 0, len(ib), width):
             cols = slice(j, min(j + width, len(ib)))
-            dots = (left @ fb[:, cols]) * sb32[cols]
+            dots = (fa[rows] @ fb[:, cols]) * sa32[rows] * sb32[cols]
             if same and j < rows.stop:  # each pair once, none with itself
                 dots[np.arange(rows.start, rows.stop)[:, None] >= np.arange(cols.start, cols.stop)] = -np.inf
             low_a, low_b = heap_a.low[rows], heap_b.low[cols]
@@ -148,7 +150,7 @@ def _tiles(k: int, dim: int):
 
 def neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, block_rows: int = 65_536, min_blocks: int = 4) -> DataFrame:
     """(id, nbr, sim, place): the k most similar other rows of every usable row, place from 1."""
-    good = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), dim)).withColumn("class", F.xxhash64("vector"))
+    good = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), dim)).withColumn("class", F.struct(F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")))  # 128 bits
     classes = good.groupBy("class").agg(F.min(F.struct("id", "vector")).alias("rep"), F.count("*").alias("copies")).select("class", F.col("rep.id").alias("id"), F.col("rep.vector").alias("vector"))
     n = vectors.select(id_col).count()
     g = max(min_blocks, -(-n // block_rows))

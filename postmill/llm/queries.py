@@ -115,6 +115,22 @@ ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: ar
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
+# a window with one word left out, exchanged or put in, as strings of 11 words, or of 12 or 13 with a blank inside
+P9_EDITED_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
+iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: w[k:k+11])) AS g FROM i WHERE len(w) >= 12),
+ig AS (SELECT DISTINCT item_id, unnest(list_concat(list_concat(
+    list_transform(range(1, 13), lambda j: array_to_string(list_concat(g[1:j-1], g[j+1:12]), ' ')),
+    list_transform(range(2, 12), lambda j: array_to_string(list_concat(list_append(g[1:j-1], '_'), g[j+1:12]), ' '))),
+    list_transform(range(1, 12), lambda j: array_to_string(list_concat(list_append(g[1:j], '_'), g[j+1:12]), ' ')))) AS g FROM iw),
+dw AS (SELECT doc_id, w, unnest(range(1, len(w) - 9)) AS k FROM d WHERE len(w) >= 11),
+dg AS (SELECT doc_id, unnest(list_concat(list_concat([array_to_string(w[k:k+10], ' ')],
+    CASE WHEN k + 11 <= len(w) THEN list_transform(range(1, 11), lambda j: array_to_string(list_concat(list_append(w[k:k+j-1], '_'), w[k+j+1:k+11]), ' ')) ELSE [] END),
+    CASE WHEN k + 12 <= len(w) THEN list_transform(range(1, 12), lambda j: array_to_string(list_concat(list_append(w[k:k+j-1], '_'), w[k+j+1:k+12]), ' ')) ELSE [] END)) AS g FROM dw)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mojibake.restored(table(spark, sf_dir, "documents"), "doc_id", "text").distinct()
@@ -131,4 +147,4 @@ def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_stripped": p3_stripped, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_truth": p7_truth, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found}
-SQL = {"p3_found": P3_SQL, "p3_stripped": P3_STRIPPED_SQL, "p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
+SQL = {"p3_found": P3_SQL, "p3_stripped": P3_STRIPPED_SQL, "p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL, "p9_edited": P9_EDITED_SQL}

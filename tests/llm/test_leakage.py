@@ -60,10 +60,19 @@ def test_eleven_words_are_no_case_and_blocks(spark):
     item = " ".join(f"x{i}" for i in range(40))
     items = spark.createDataFrame([(i, item if i == 3 else f"{i} " * 40, "", "") for i in range(9)], ITEMS)
     docs = spark.createDataFrame([(1, " ".join(f"X{i}" for i in range(5, 16)), "", ""), (2, "a " + ", ".join(f"x{i}" for i in range(28, 40)) + " b", "", ""), (3, "filler " * 20000 + item, "", "")], SCHEMA)
-    for size in (32_000_000, 200):
+    for size in (8_000_000, 200):
         assert {tuple(r) for r in L.leaks(docs, "doc_id", "text", items, "item_id", "text", block_chars=size).collect()} == {(2, 3), (3, 3)}
 
 
+def test_a_piece_of_very_many_items():
+    """A common beginning stands in all items; equal surroundings are compared once."""
+    common = "these six words begin every item"
+    own = [" ".join(f"w{i % 50}x{j}" for j in range(20)) for i in range(2000)]
+    matcher = L.Matcher([(i, f"{common} {t}") for i, t in enumerate(own)], 12, 0)
+    assert matcher.leaks(f"{common} and no more of it than that, so nothing leaks here") == set()
+    assert matcher.leaks(f"said {common} {own[7]}") == {i for i in range(2000) if i % 50 == 7}
+
+
 def test_nothing(spark):
     docs, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], ITEMS)
     assert L.leaks(docs, "doc_id", "text", items, "item_id", "text").count() == 0
