@@ -6,6 +6,7 @@ of (key, version) pairs against the ledger of pairs already processed (so nothin
 
 ``replay``       the history of all runs at once, as one plan without driver loops.
 ``FeedConsumer`` the live form: one call per run, ledger and state in a shared folder, committed atomically.
+``consumed``     the history of all runs by the live form.
 
 Edge cases: feed rows with null key, null run or null time are left aside; a null content hash is a value
 like any other (null differs from every string, equals null); empty feeds or runs give an empty result;
@@ -20,6 +21,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postmill.state import Marks
+
 
 def successful_runs(runs: DataFrame) -> DataFrame:
     """(run, open_from): successful runs, each with the oldest transaction open at the run before it.
@@ -65,62 +68,128 @@ def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
 class FeedConsumer:
     """Hands on new and changed postings run by run.
 
-    ``folder`` (shared by all executors) holds one version directory per committed run with the ledger and
-    the state, and a commit file naming the current version. A run that dies leaves only an uncommitted
-    directory behind; the next one starts from the last commit, so nothing is skipped or repeated. The
-    ledger keeps only pairs from the oldest open transaction on; older ones can't be read again.
+    A run *stages* what it hands on, and ``acknowledge`` commits it once the caller has taken it. Until then every
+    ``run`` and ``pending`` gives the same staged rows again, also after a crash, and reads nothing new. A run that
+    dies while it stages leaves an unnamed directory behind and the next one starts from the last commit.
+
+    Order of reading: first the largest sequence number seen, then the open transactions, then the rows, which are
+    written once; state and ledger come from these written rows. A transaction that the list of open ones lacks has
+    ended before it, so its rows are among those read, or begins after it, so its rows have larger numbers than
+    any seen before. The next run therefore rereads from the oldest open transaction or from just after the
+    largest number seen, whichever is less. Nothing is skipped, whenever a transaction commits, and the ledger takes
+    out what was read already.
+
+    ``folder`` (shared by all executors) holds one directory per run with the rows handed on, the keys' new states
+    and the ledger's new pairs. States are kept as a base and the changes since; after COMPACT runs they are merged
+    into a new base, so a run writes in proportion to what it reads. The ledger keeps only pairs from the place
+    where the next run rereads; older ones can't be read again.
     """
 
+    COMPACT = 8
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
+        self._staged, self._commits = Marks(spark, folder, "staged"), Marks(spark, folder, "commit")
 
     def committed(self) -> dict:
-        """The last commit: its version directory, the run, and where the next run rereads from."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)) if s.getPath().getName().startswith("commit-"))
-        if not names:
-            return {"n": 0, "dir": None, "reread_from": None}
-        return json.loads(self.spark.read.text(f"{self.folder}/{names[-1]}").head()[0])
-
-    def _commit(self, info: dict) -> None:
-        tmp = f"{self.folder}/_tmp-{uuid.uuid4().hex}"
-        out = self._fs.create(self._path(tmp), False)
-        out.write(bytearray(json.dumps(info).encode()))
-        out.close()
-        if not self._fs.rename(self._path(tmp), self._path(f"{self.folder}/commit-{info['n']:09d}")):
-            raise RuntimeError("another consumer committed the same run")
+        """The last commit: its number, the state's and the ledger's folders, and where the next run rereads from."""
+        n = self._commits.last()
+        if not n:
+            return {"n": 0, "states": [], "ledgers": [], "reread_from": None}
+        return json.loads(self._staged.content(n))
+
+    def pending(self) -> DataFrame | None:
+        """(posting_id, change_kind) staged and not acknowledged, if there is such a run."""
+        n = self._commits.last() + 1
+        return self._rows(n) if n in self._staged.numbers() else None
+
+    def _rows(self, n: int) -> DataFrame:
+        return self.spark.read.schema("posting_id long, change_kind string").parquet(f"{self.folder}/{json.loads(self._staged.content(n))['dir']}/changes")
+
+    def acknowledge(self) -> None:
+        """Commits the staged run; ``Conflict`` if another consumer did."""
+        n = self._commits.last() + 1
+        if n not in self._staged.numbers():
+            raise RuntimeError("nothing is staged")
+        self._commits.put(n, "")
 
     def run(self, feed: DataFrame, open_seqs: DataFrame | None = None) -> DataFrame:
-        """Processes what arrived since the last run and returns (posting_id, change_kind) of it.
+        """Stages what arrived since the last run and returns (posting_id, change_kind) of it.
 
-        feed: all rows visible now. open_seqs: one column ``seq`` with the first sequence number of each
-        transaction still open now; the next run rereads from the smallest of them.
+        feed: all rows visible, read anew at each use. open_seqs: one column ``seq`` with the first sequence number
+        of each transaction still open; None if there are never any.
         """
+        if (again := self.pending()) is not None:
+            return again
         last = self.committed()
-        rows = feed.where(F.col("posting_id").isNotNull() & F.col("last_seen_at").isNotNull()).select("posting_id", "seq", "content_hash", "last_seen_at", version(F.col("seq"), F.col("content_hash"), F.col("last_seen_at")).alias("version"))
+        seen_before = feed.agg(F.max("seq")).head()[0]
+        oldest_open = open_seqs.agg(F.min("seq")).head()[0] if open_seqs is not None else None
+        starts = [x for x in (oldest_open, seen_before + 1 if seen_before is not None else None) if x is not None]
+        start = min(starts) if starts else last["reread_from"]
+        here = f"version-{last['n'] + 1:012d}-{uuid.uuid4().hex}"
+        rows = feed.where(F.col("posting_id").isNotNull() & F.col("last_seen_at").isNotNull()).select(F.col("posting_id").cast("long").alias("posting_id"), F.col("seq").cast("long").alias("seq"), "content_hash", "last_seen_at", version(F.col("seq"), F.col("content_hash"), F.col("last_seen_at")).alias("version"))
         if last["reread_from"] is not None:
             rows = rows.where(F.col("seq") >= last["reread_from"])
-        ledger = state = None
-        if last["dir"]:
-            ledger = self.spark.read.parquet(f"{last['dir']}/ledger")
-            state = self.spark.read.parquet(f"{last['dir']}/state")
-            rows = rows.join(ledger.select("posting_id", "version"), ["posting_id", "version"], "left_anti")
+        ledger = [self._read(x) for x in last["ledgers"]]
+        for part in ledger:
+            rows = rows.join(part.select("posting_id", "version"), ["posting_id", "version"], "left_anti")
+        rows = self._written(rows.distinct(), f"{here}/ledger")
         top = rows.groupBy("posting_id").agg(F.max(F.struct("last_seen_at", "seq", "content_hash")).alias("top"))
-        old = (state if state is not None else top.limit(0)).select("posting_id", F.col("top").alias("old"))
-        merged = old.join(top, "posting_id", "full_outer").select("posting_id", "old", F.greatest("old", "top").alias("top"))
-        at = f"{self.folder}/version-{last['n'] + 1:09d}-{uuid.uuid4().hex}"
+        states = [self._read(x) for x in last["states"]]
+        if states:
+            # only the states of keys that were read now
+            keys = rows.select("posting_id").distinct()
+            old = _newest(states[0] if len(states) == 1 else _all(states), keys).withColumnRenamed("top", "old")
+            moved = top.join(old, "posting_id", "left").where(F.col("old").isNull() | (F.col("top") > F.col("old")))
+        else:
+            moved = top.withColumn("old", F.lit(None).cast(top.schema["top"].dataType))
         kind = F.when(F.col("old").isNull(), "new").when(~F.col("old.content_hash").eqNullSafe(F.col("top.content_hash")), "changed")
-        merged.withColumn("change_kind", kind).write.parquet(f"{at}/state")
-        newest = feed.agg(F.max("seq")).head()[0]
-        oldest_open = open_seqs.agg(F.min("seq")).head()[0] if open_seqs is not None else None
-        # without open transactions only rows after the newest are unseen
-        start = oldest_open if oldest_open is not None else (newest + 1 if newest is not None else last["reread_from"])
-        pairs = rows.select("posting_id", "version", "seq")
-        if ledger is not None:
-            pairs = pairs.unionByName(ledger)
-        (pairs.where(F.col("seq") >= start) if start is not None else pairs).write.parquet(f"{at}/ledger")
-        self._commit({"n": last["n"] + 1, "dir": at, "reread_from": start})
-        return self.spark.read.parquet(f"{at}/state").where(F.col("change_kind").isNotNull()).select("posting_id", "change_kind")
+        moved = self._written(moved.select("posting_id", "top", kind.alias("change_kind")), f"{here}/moved")
+        moved.where(F.col("change_kind").isNotNull()).select("posting_id", "change_kind").write.parquet(f"{self.folder}/{here}/changes")
+        folders = [*last["states"], f"{here}/moved"]
+        if len(folders) > self.COMPACT:
+            self._written(_newest(_all([*states, moved])), f"{here}/state")
+            folders = [f"{here}/state"]
+        # ledgers whose pairs all lie before the place to reread from can't meet a row again
+        kept = [x for x, part in zip(last["ledgers"], ledger) if start is None or not part.where(F.col("seq") >= start).isEmpty()]
+        self._staged.put(last["n"] + 1, json.dumps({"n": last["n"] + 1, "dir": here, "states": folders, "ledgers": [*kept, f"{here}/ledger"], "reread_from": start}))
+        return self._rows(last["n"] + 1)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+
+def _all(states: list[DataFrame]) -> DataFrame:
+    out = states[0].select("posting_id", "top")
+    for s in states[1:]:
+        out = out.unionByName(s.select("posting_id", "top"))
+    return out
+
+
+def _newest(states: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(posting_id, top): each key's newest state, of the given keys if any are."""
+    rows = states.select("posting_id", "top")
+    if keys is not None:
+        rows = rows.join(keys, "posting_id", "left_semi")
+    return rows.groupBy("posting_id").agg(F.max("top").alias("top"))
+
+
+def consumed(feed: DataFrame, runs: DataFrame, folder: str) -> DataFrame:
+    """(run_id, posting_id) as ``replay`` gives them, by one FeedConsumer run for each successful ingestion run.
+
+    The feed's transactions are the ingestion runs: at a successful run those up to it are visible, later ones
+    open. The loop is over the short list of ingestion runs.
+    """
+    spark, out = feed.sparkSession, None
+    consumer = FeedConsumer(spark, folder)
+    rows = feed.where(F.col("run_id").isNotNull())
+    for r in sorted(r.run for r in successful_runs(runs).select("run").collect()):
+        later = rows.where(F.col("run_id") > r).groupBy("run_id").agg(F.min("seq").alias("seq"))
+        part = consumer.run(rows.where(F.col("run_id") <= r), later).select(F.lit(r).cast("long").alias("run_id"), "posting_id")
+        consumer.acknowledge()
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "run_id long, posting_id long")

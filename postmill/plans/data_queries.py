@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators import incremental, snapshot_diff
-from postmill.session import table
+from postmill.session import ensure_checkpoint_dir, table
 
 _KEY = r"lower(regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
 
@@ -15,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.replay(table(spark, sf_dir, "posting_feed"), table(spark, sf_dir, "ingestion_runs"))
 
 
+def p1_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the live consumer, run by run."""
+    folder = f"{ensure_checkpoint_dir(spark)}/consumer-{uuid.uuid4().hex}"
+    return incremental.consumed(table(spark, sf_dir, "posting_feed"), table(spark, sf_dir, "ingestion_runs"), folder)
+
+
 P1_SQL = """
 WITH done AS (SELECT id FROM ingestion_runs WHERE finished_at IS NOT NULL),
 owned AS (SELECT f.posting_id, f.content_hash, f.last_seen_at, f.seq, (SELECT min(d.id) FROM done d WHERE d.id >= f.run_id) AS run
@@ -76,5 +84,5 @@ JOIN snap o ON o.company_id = p.company_id AND o.run_id = p.before AND o.externa
 """
 )
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_changed_fields": p6_changed_fields}
-SQL = {"p1_found": P1_SQL, "p6_found": P6_SQL, "p6_changed_fields": P6_FIELDS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_consumed": p1_consumed, "p6_found": p6_found, "p6_changed_fields": p6_changed_fields}
+SQL = {"p1_found": P1_SQL, "p1_consumed": P1_SQL, "p6_found": P6_SQL, "p6_changed_fields": P6_FIELDS_SQL}
