@@ -1,22 +1,22 @@
 """Garbled text from wrong character encoding: find it and restore it.
 
 1. Corpus statistics: the adjacent character pairs of every different sentence are counted, each sentence
-   once, so that garbling does not become normal by being repeated (in PAIR_SLOTS hashed slots, so what is
-   sent to the executors has a fixed bound), and with them each pair's share of the corpus' mutual
-   information, p(xy) log(p(xy) / p(x)p(y)).
+   once, so that garbling does not become normal by being repeated (in two tables of PAIR_SLOTS hashed slots, of
+   which the lesser count holds, so what is sent to the executors has a fixed bound), and with them each pair's
+   share of the corpus' mutual information, p(xy) log(p(xy) / p(x)p(y)).
 2. Improbable runs: pairs with a non-ASCII character that carry less than a threshold of that information
    score positive, other pairs and distance negative; the maximum-scoring segments are the runs. A stretch
    that an inverse mapping makes more probable is improbable whatever its information.
 3. Only inside the runs inverse mappings are tested. A text that was UTF-8 shows byte groups of UTF-8 spelled
    in the wrong encoding; chains of such groups are replaced. A text of a one-byte encoding read as another
-   is mapped sentence by sentence. A mapping is kept if the pairs of the result are more probable in the
+   is mapped where runs reach into its sentences; the sentence judges the mapping. A mapping is kept if the pairs of the result are more probable in the
    corpus, by either count. Layers are taken off until nothing improves. Where only characters that stand alone would change
    ("named Ð or Ñ"), counts with repetitions decide, unless other sentences show the same mapping.
 
 A garbled token that stands beside its own clean form in one sentence is a quotation and stays.
 
-Edge cases: null, empty and pure ASCII texts are never found; a text with U+FFFD is found, but not restored
-(the result is null); repeated rows give equal results; empty tables give empty results; extra columns are
+Edge cases: null, empty and pure ASCII texts are never found; U+FFFD, the mark of a failed decoding, is a run of its
+own without inverse, so a text with it is found, but not restored (the result is null); repeated rows give equal results; empty tables give empty results; extra columns are
 ignored.
 """
 
@@ -32,16 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAIR_SLOTS = 1 << 20
+#: each pair of characters has one slot in each of two tables; the lesser of its counts holds
+PAIR_SLOTS, TABLES = 1 << 21, 2
 REPLACEMENT = "�"
 #: encodings that UTF-8 bytes are read as by mistake
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman", "cp850")
 #: (written in, read as) of one-byte encodings
 SINGLE = (("cp1251", "cp1252"), ("cp1251", "latin-1"), ("cp1250", "cp1252"), ("cp1250", "latin-1"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"))
-MAX_LAYERS = 8
 #: for Spark: a piece begins with the white space that parts it from the one before, so no non-ASCII pair is lost
 PIECES = r"(?=\n)|(?<=[.!?])(?=\s)"
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)|[.!?](?!\s)[^\n.!?]*)*[.!?]*\s*|\n")
+#: share of the corpus' characters from which on one is known
+KNOWN = 8e-8
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -94,14 +96,18 @@ class OneByte:
         return out if out != text else None
 
 
-def slot(x: int, y: int) -> int:
-    return (x * 0x9E3779B1 + y * 0x85EBCA77 + (x ^ (y << 7))) & (PAIR_SLOTS - 1)
+def slots(x, y):
+    """The slots of a pair of code points in the tables; also of arrays of them."""
+    a = x * 0x9E3779B1 + y * 0x85EBCA77 + (x ^ (y << 7))
+    b = (x * 0xC2B2AE35 ^ (y * 0x27D4EB2F)) + (y << 11)
+    return a & (PAIR_SLOTS - 1), ((b ^ (b >> 17)) & (PAIR_SLOTS - 1)) + PAIR_SLOTS
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, code, n): pair slots (0), characters (1) and the number of pairs (2) of a partition's texts; where
     a column n says how often each text occurs, the same with repetitions (3, 4, 5)."""
-    pairs, chars, total = np.zeros((2, PAIR_SLOTS), np.int64), np.zeros((2, 0x110000), np.int64), [0, 0]
+    size = PAIR_SLOTS * TABLES
+    pairs, chars, total = np.zeros((2, size), np.int64), np.zeros((2, 0x110000), np.int64), [0, 0]
     repeated = False
     for batch in batches:
         repeated = "n" in batch.schema.names
@@ -115,16 +121,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x, y = c[:-1], c[1:]
             some = np.flatnonzero((x > 127) | (y > 127))
-            s = x[some] * 0x9E3779B1 + y[some] * 0x85EBCA77 + (x[some] ^ (y[some] << 7))
-            s &= PAIR_SLOTS - 1
+            s = np.concatenate(slots(x[some], y[some]))
             chars[0] += np.bincount(c, minlength=0x110000)
             total[0] += len(x)
-            pairs[0] += np.bincount(s, minlength=PAIR_SLOTS)
+            pairs[0] += np.bincount(s, minlength=size)
             if repeated:
                 times = np.repeat([n for t, n in zip(texts, part.column("n").to_pylist()) if t], [len(t) + 1 for t in texts if t])[:-1]
                 np.add.at(chars[1], c, times)
                 total[1] += int(times[:-1].sum())
-                np.add.at(pairs[1], s, times[some])
+                np.add.at(pairs[1], s, np.tile(times[some], TABLES))
     for k in (0, 1) if repeated else (0,):
         for kind, counts in ((0, pairs[k]), (1, chars[k])):
             codes = np.flatnonzero(counts)
@@ -133,14 +138,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_statistics(docs: DataFrame, text: str) -> dict[str, np.ndarray]:
-    """Counts over all different sentences, and with repetitions ("all_"); at most twice PAIR_SLOTS + 0x110000
-    numbers come to the driver, whatever the corpus."""
+    """Counts over all different sentences, and with repetitions ("all_"), as from ``statistics``; at most twice
+    2 PAIR_SLOTS + 0x110000 numbers come to the driver, whatever the corpus."""
     pieces = docs.select(F.explode(F.split(F.col(text), PIECES)).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
-    rows = pieces.mapInArrow(_counts, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
+    return statistics(pieces.mapInArrow(_counts, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow())
+
+
+def statistics(rows: pa.Table) -> dict[str, np.ndarray]:
+    """Log frequencies of (kind, code, n): "pairs" and "chars", as slots or code points in order and their values."""
     kind, code, n = (rows.column(c).to_numpy() for c in ("kind", "code", "n"))
     out = {}
     for k, prefix in ((0, ""), (3, "all_")):
-        out |= {prefix + "slots": code[kind == k], prefix + "slot_n": n[kind == k], prefix + "chars": code[kind == k + 1], prefix + "char_n": n[kind == k + 1], prefix + "total": n[kind == k + 2]}
+        total = max(int(n[kind == k + 2].sum()), 1)
+        if k and not (kind == k + 2).any():
+            break
+        for name, of in (("pairs", k), ("chars", k + 1)):
+            order = np.argsort(code[kind == of])
+            out |= {prefix + name: code[kind == of][order].astype(np.int32), prefix + name + "_log": (np.log(n[kind == of][order]) - math.log(total)).astype(np.float32)}
+        out[prefix + "total"] = np.array([total])
     return out
 
 
@@ -160,43 +175,52 @@ class _Cache(dict):
         return value
 
 
+class Logs:
+    """Log frequencies of pairs by slot, as sorted arrays: small beside the dictionary of a full table."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.codes, self.values = codes, values
+
+    def get(self, x: int, y: int, default):
+        found = None
+        for s in slots(x, y):
+            i = self.codes.searchsorted(s)
+            if i == len(self.codes) or self.codes[i] != s:
+                return default
+            found = self.values[i] if found is None else min(found, self.values[i])
+        return float(found)
+
+
 class Model:
-    """Pair and character statistics for scoring. A character is known if it was seen ``least`` times."""
+    """Pair and character statistics for scoring. Thresholds are shares of the corpus, so they hold at any size: of
+    its mutual information (tau, rare) and of its characters, from which on one is known (known)."""
 
-    def __init__(self, stats: dict[str, np.ndarray], tau: float = 1e-3, rare: float = 2e-5, least: int = 3):
-        self.total = max(int(stats["total"].sum()), 1)
-        self.log_n = math.log(self.total)
-        self.pairs, self.chars = self._logs(stats, "", self.log_n)
+    def __init__(self, stats: dict[str, np.ndarray], tau: float = 1e-3, rare: float = 2e-5, known: float = KNOWN):
         every = "all_" if "all_total" in stats else ""
-        all_log_n = math.log(max(int(stats[every + "total"].sum()), 1))
-        self.all_pairs, _ = self._logs(stats, every, all_log_n)
-        self.all_floor = -all_log_n - 3.0
-        self.known = {c for c, n in zip(stats[every + "chars"].tolist(), stats[every + "char_n"].tolist()) if n >= least}
-        self.floor = -self.log_n - 3.0
+        self.pairs, self.all_pairs = (Logs(stats[e + "pairs"], stats[e + "pairs_log"]) for e in ("", every))
+        self.chars = dict(zip(stats["chars"].tolist(), stats["chars_log"].tolist()))
+        self.floor, self.all_floor = (-math.log(int(stats[e + "total"][0])) - 3.0 for e in ("", every))
+        self.known = set(stats[every + "chars"][stats[every + "chars_log"] >= math.log(known)].tolist())
         self.tau, self.rare = tau, rare
         self.utf8 = [Utf8ReadAs(e) for e in READ_AS]
         self.single = [OneByte(w, r) for w, r in SINGLE]
         # what no inverse mapping can start from
         self.unmapped = re.compile("[^\x00-\x7f" + "".join(re.escape(chr(c)) for c in sorted({c for m in self.single for c in m.table})) + "]")
         self.leads = re.compile("[" + "".join(re.escape(c) for c in sorted({c for r in self.utf8 for c, b in r.to_byte.items() if 0xC2 <= b <= 0xF4})) + "]")
-        self.log_p_of_all = _Cache(lambda pair: self.all_pairs.get(slot(ord(pair[0]), ord(pair[1])), self.all_floor) if not pair.isascii() else 0.0)
+        self.log_p_of_all = _Cache(lambda pair: self.all_pairs.get(ord(pair[0]), ord(pair[1]), self.all_floor) if not pair.isascii() else 0.0)
         self.log_p = _Cache(lambda pair: self._pair(ord(pair[0]), ord(pair[1])))
         self.info = _Cache(lambda pair: self._information(ord(pair[0]), ord(pair[1])))
         self.gains = _Cache(self._gains)
         self.judged = _Cache(self._judged)
 
-    @staticmethod
-    def _logs(stats: dict[str, np.ndarray], prefix: str, log_n: float) -> tuple[dict[int, float], dict[int, float]]:
-        return tuple(dict(zip(stats[prefix + code].tolist(), (np.log(stats[prefix + n]) - log_n).tolist())) for code, n in (("slots", "slot_n"), ("chars", "char_n")))
-
     def _pair(self, x: int, y: int) -> float:
         if x < 128 and y < 128:
             return 0.0
-        return self.pairs.get(slot(x, y), self.floor)
+        return self.pairs.get(x, y, self.floor)
 
     def _information(self, x: int, y: int) -> float:
         """The pair's share of the corpus' mutual information."""
-        p = self.pairs.get(slot(x, y))
+        p = self.pairs.get(x, y, None)
         if p is None:
             return 0.0
         return math.exp(p) * max(p - self.chars.get(x, self.floor) - self.chars.get(y, self.floor), 0.0)
@@ -365,10 +389,10 @@ class Restorer:
         gains = [self.model.gains[text[a - 1 if a else 0 : b + 1]] for a, b in spans]
         return any([sum(g) > 0.4 for g in zip(*gains)])
 
-    def _sentences(self, text: str, sentences: list[tuple[int, int, float]], mapping: OneByte) -> list[tuple[int, int, str, float]]:
+    def _sentences(self, text: str, sentences: list[tuple[int, int, float]], runs: list[tuple[int, int]], mapping: OneByte) -> list[tuple[int, int, str, float]]:
         found = []
         for a, b, old in sentences:
-            new = mapping.restore(text[a:b])
+            new = self._inside(text, a, b, runs, mapping)
             if new is None or not self.model.familiar(new):
                 continue
             before, after = text[max(0, a - 1) : a], text[b : b + 1]
@@ -381,6 +405,20 @@ class Restorer:
         sure = any(x[4] for x in found)
         return [x[:4] for x in found] if sure else []
 
+    @staticmethod
+    def _inside(text: str, a: int, b: int, runs: list[tuple[int, int]], mapping: OneByte) -> str | None:
+        """text[a:b] with what lies inside the runs mapped; None if that can't be."""
+        out, at = [], a
+        for lo, hi in runs:
+            lo, hi = max(lo, a), min(hi, b)
+            if lo < hi:
+                new = mapping.restore(text[lo:hi])
+                if new is None:
+                    return None
+                out += [text[at:lo], new]
+                at = hi
+        return "".join(out) + text[at:b] if out else None
+
     @staticmethod
     def _alone(text: str, a: int, b: int) -> bool:
         """All non-ASCII characters of the sentence stand alone, beside no letter or digit."""
@@ -391,8 +429,8 @@ class Restorer:
         """The restored text, or None if nothing in it is garbled."""
         if not text or text.isascii():
             return None
-        now = text
-        for _ in range(MAX_LAYERS):
+        now, before = text, {text}
+        while True:
             found = improbable_runs(now, self.model)
             if not found.runs:
                 break
@@ -400,11 +438,14 @@ class Restorer:
             longer = " ".join({now[a:b] for a, b in found.spans if b - a > 1})
             best = max((self._chains(now, longer, found.runs, r) for r in self.utf8), key=lambda o: sum(x[3] for x in o))
             if sentences := self._doubtful(now, found):
-                best = max([best, *(self._sentences(now, sentences, m) for m in self.single)], key=lambda o: sum(x[3] for x in o))
+                best = max([best, *(self._sentences(now, sentences, found.runs, m) for m in self.single)], key=lambda o: sum(x[3] for x in o))
             if not best:
                 break
             for a, b, new, _ in reversed(best):
                 now = now[:a] + new + now[b:]
+            if now in before:  # layers are taken off, never put back
+                break
+            before.add(now)
         return now if now != text else None
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from postmill.llm import mojibake as M
@@ -33,12 +35,39 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def restorer(corpus):
-    import pyarrow as pa
+    return M.Restorer(M.Model(M.statistics(counted(corpus))))
 
+
+def counted(corpus, times=1):
+    """Counts of the texts and some garbled ones, as if each occurred so many times."""
     mixed = corpus + [garble(t, "utf-8", "cp1252") for t in corpus[:40]]
-    parts = list(M._counts(iter([pa.RecordBatch.from_arrays([pa.array(mixed)], names=["text"])])))
-    by = {p.column("kind")[0].as_py(): p for p in parts}
-    return M.Restorer(M.Model({"slots": by[0].column("code").to_numpy(), "slot_n": by[0].column("n").to_numpy(), "chars": by[1].column("code").to_numpy(), "char_n": by[1].column("n").to_numpy(), "total": by[2].column("n").to_numpy()}))
+    rows = pa.Table.from_batches(M._counts(iter([pa.RecordBatch.from_arrays([pa.array(mixed)], names=["text"])])))
+    return rows.set_column(2, "n", pa.array(rows.column("n").to_numpy() * times))
+
+
+def test_a_corpus_of_any_size_is_judged_alike(corpus, restorer):
+    """The same shares, a thousand times the counts."""
+    large = M.Restorer(M.Model(M.statistics(counted(corpus, 1000))))
+    texts = corpus[::30] + [garble(SENTENCES[lang], *how) for lang in SENTENCES for how in (("utf-8", "cp1252"), ("utf-8", "cp437"))] + [garble(SENTENCES["ru"], "cp1251", "cp1252"), garble(SENTENCES["pl"], "cp1250", "cp1252")]
+    assert [large.restore(t) for t in texts] == [restorer.restore(t) for t in texts]
+
+
+def test_slots_of_arrays_and_numbers_agree(restorer):
+    x, y = np.array([32, 0xE9, 0x10FFFF]), np.array([0xE9, 0x3042, 0x10FFFF])
+    a, b = M.slots(x, y)
+    assert [M.slots(int(i), int(j)) for i, j in zip(x, y)] == list(zip(a.tolist(), b.tolist()))
+    assert a.max() < M.PAIR_SLOTS <= b.min() and b.max() < M.TABLES * M.PAIR_SLOTS
+    pairs = restorer.model.pairs
+    assert pairs.get(0x10FFFF, 0xE000, None) is None and pairs.get(ord("ü"), ord("r"), None) < 0
+
+
+def test_mappings_stay_inside_the_runs(restorer):
+    text = "Ünïcode здесь и там."
+    mapping = M.OneByte("cp1251", "cp1252")
+    wrong = garble("здесь и там.", "cp1251", "cp1252")
+    assert restorer._inside("Ün " + wrong, 0, 3 + len(wrong), [(3, 3 + len(wrong))], mapping) == "Ün здесь и там."
+    assert restorer._inside("Ün " + wrong, 0, 3 + len(wrong), [], mapping) is None
+    assert restorer.restore(text) is None
 
 
 def test_clean_texts_stay(corpus, restorer):
