@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from postmill.llm.blocks import LABELS, Labeller
 
 KINDS = ("heading", "list_item", "code", "formula")
-TAG = re.compile(r"</?(?:p|div|ul|ol|li|h[1-6]|pre|br|table|tr|td|section|article|span|blockquote)\b[^<>]*>", re.I)
+TAG = re.compile(r"</?(p|div|ul|ol|li|h[1-6]|pre|br|table|tr|td|section|article|span|blockquote)\b[^<>]*>", re.I)
 ANY_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 BLOCK = frozenset("p div ul ol li h1 h2 h3 h4 h5 h6 pre table tr td th section article blockquote header footer dl dt dd".split())
 OWNERS = frozenset("li h1 h2 h3 h4 h5 h6 pre style script".split())
@@ -55,7 +55,7 @@ def squeezed(text: str) -> str:
 
 def unescaped(text: str) -> str:
     """The text freed of whole layers of entity escaping: until tags show, or nothing is left to resolve."""
-    for _ in range(8):
+    while True:  # resolving an entity shortens the text
         if TAG.search(text) or (ANY_TAG.search(text) and not re.search(r"&(?:amp;)*(?:lt|gt);?", text)):
             break
         new = html.unescape(text)
@@ -67,7 +67,9 @@ def unescaped(text: str) -> str:
 
 def notation(text: str) -> str:
     """html, latex, wiki or markdown (also for plain text)."""
-    if TAG.search(text):
+    tags = {m[1].lower() for m in TAG.finditer(text)}
+    # wiki texts may have code between pre tags
+    if tags and not (tags == {"pre"} and re.search(r"^(={2,6}) ?\S.* ?\1\s*$", text, re.M)):
         return "html"
     if re.search(r"\\(?:(?:sub)*section\*?\{|begin\{|item\b|textbf\{|emph\{|texttt\{|href\{)", text):
         return "latex"
@@ -118,6 +120,8 @@ class _Html(HTMLParser):
             self.stack.append((tag + ("@heading" if heading else ""), self.count))
         elif tag == "br":
             self.text.append("\n")
+        elif tag == "math":  # kept as a delimiter
+            self.text.append("<math>")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -128,6 +132,8 @@ class _Html(HTMLParser):
             if any(t.split("@")[0] == tag for t, _ in self.stack):
                 stop = {"ul", "ol"} - {tag} if tag == "li" else set()
                 self.pop_to({tag}, stop)
+        elif tag == "math":
+            self.text.append("</math>")
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -333,7 +339,7 @@ def _wiki(s: str) -> str:
 
 def _latex(s: str) -> str:
     s = re.sub(r"(?<!\\)%.*", "", s)
-    for _ in range(4):
+    while True:  # from the innermost command outwards
         new = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", s)
         new = re.sub(r"\\(?:text[a-z]{2}|emph|underline|mbox|texttt|textnormal|url)\{([^{}]*)\}", r"\1", new)
         if new == s:

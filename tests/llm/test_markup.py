@@ -1,10 +1,14 @@
 import html
+import random
 
 import numpy as np
 import pytest
 
 from postmill.llm import markup as M
-from postmill.llm.blocks import DIM, LABELS, Labeller, padded
+from postmill.llm import blocks as B
+from postmill.llm.block_samples import MARKER, NOTATIONS, _labels, labelled, sample
+from postmill.llm.blocks import LABELS, Batch, Labeller
+from postmill.llm.train_blocks import accuracy, fitted
 
 HTML = """<style>.a > li { color: red; }</style><!-- <h2>draft</h2> --><h2 class="x">About R&amp;D</h2><p>Text with \\(a^2 &lt; b\\) here. Pay runs from $4 to $97 an hour.
 <ul><li>One <b>bold</b><ul><li>Deep&nbsp;one<li><p>Deep two</p></ul><li>Two <code>x_y</code></ul><pre><code>if (a &lt; b) {
@@ -128,38 +132,60 @@ def test_spark_rows(spark):
 
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
-    model = Labeller.fresh(1)
-    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    x, mask = rng.normal(size=(4, 3, DIM)) * 0.3, np.ones((4, 3))
-    mask[3, 1] = mask[2:, 2] = 0
-    y = rng.integers(0, len(LABELS), (4, 3))
-    loss, g = model.gradients(x.astype(np.float32), mask.astype(np.float32), y)
-    for name in ("wxf", "whf", "bf", "wxb", "whb", "wo", "bo"):
-        flat = model.w[name].reshape(-1)
-        for i in rng.integers(0, flat.size, 3):
-            old, eps = flat[i], 1e-3
-            flat[i] = old + eps
-            up, _ = model.gradients(x.astype(np.float32), mask.astype(np.float32), y)
-            flat[i] = old - eps
-            down, _ = model.gradients(x.astype(np.float32), mask.astype(np.float32), y)
-            flat[i] = old
-            assert abs((up - down) / (2 * eps) - g[name].reshape(-1)[i]) < 2e-3
-
-
-def test_labels_do_not_depend_on_the_batch(labeller):
+    docs = [labelled(random.Random(i), n)[0] for i, n in enumerate(("html", "markdown", "latex"))]
+    for context in (True, False):
+        model = Labeller.fresh(1, context)
+        model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+        x = Batch(docs)
+        y = rng.integers(0, len(LABELS), x.mask.shape)
+        loss, g = model.gradients(x, y)
+        for name in ("wxf", "whf", "bf", "wxb", "whb", "wo", "bo"):
+            flat, some = model.w[name].reshape(-1), np.flatnonzero(g[name])
+            for i in rng.choice(some, min(3, len(some)), replace=False):
+                old, eps = flat[i], 1e-3
+                flat[i] = old + eps
+                up, _ = model.gradients(x, y)
+                flat[i] = old - eps
+                down, _ = model.gradients(x, y)
+                flat[i] = old
+                assert abs((up - down) / (2 * eps) - g[name].reshape(-1)[i]) < 2e-3
+    assert not g["wxf"].any()
+
+
+def test_labels_do_not_depend_on_the_batch(labeller, monkeypatch):
     docs = [M.leaves_of(t)[1] for t in (HTML, MARKDOWN, WIKI, LATEX, "x")]
     assert labeller.label(docs) == [labeller.label([d])[0] for d in docs] and labeller.label([[]]) == [[]]
-    assert padded(docs)[1].sum() == sum(map(len, docs))
+    long = [leaf for i in range(40) for leaf in docs[i % 4]]
+    whole = labeller.label([long, *docs])
+    monkeypatch.setattr(B, "WINDOW", 7)
+    monkeypatch.setattr(B, "CELLS", 50)
+    assert labeller.label([long, *docs]) == whole
 
 
 def test_held_out_accuracy(labeller):
-    """On rows that the labeller was not fitted to."""
-    import pyarrow.parquet as pq
-
-    from postmill.llm.train_blocks import structural_label
-
-    texts = [t for t in pq.read_table("/root/testdata/sf0.01/greenhouse.parquet", columns=["content"]).column(0).to_pylist() if t and t.strip()]
-    docs = [M.leaves_of(t) for t in texts]
-    said = labeller.label([d for _, d in docs])
-    pairs = [(a, structural_label(k, leaf)) for (k, d), s in zip(docs, said) for a, leaf in zip(s, d)]
-    assert len(pairs) > 1000 and sum(a == b for a, b in pairs) / len(pairs) > 0.999
+    """Generated texts of other seeds than the labeller was fitted to; each leaf by itself is not enough."""
+    held = [labelled(random.Random(f"test {i}"), NOTATIONS[i % 4]) for i in range(400)]
+    assert sum(len(labels) for _, labels in held) > 2000 and accuracy(labeller, held) > 0.999
+    train = [labelled(random.Random(i), NOTATIONS[i % 4]) for i in range(200)]
+    assert accuracy(fitted(train, 20), held) > 0.97
+    # a line that begins with a number sign is a heading in one document and a list item in another
+    shared = "# About the oven"
+    assert found(labeller, f"{shared}\n\nText.\n\n## More\n\n- one\n- two") >= {("heading", "About the oven"), ("list_item", "one")}
+    assert found(labeller, f"== Steps ==\n{shared}\n# Light it\n# Wait\n\n'''Then''' bake.") >= {("heading", "Steps"), ("list_item", "About the oven"), ("list_item", "Wait")}
+
+
+def test_the_labels_are_what_was_meant():
+    text, kinds = sample(random.Random(3), "html")
+    leaves = M.leaves_of(text)[1]
+    assert [kinds[int(MARKER.search(leaf.text)[1])] for leaf in leaves if MARKER.search(leaf.text)] == [a for leaf, a in zip(leaves, _labels(leaves, kinds)) if MARKER.search(leaf.text)]
+    assert _labels(M.leaves_of("<p>qz1 and qz2</p>")[1], {1: "text", 2: "code"}) is None
+
+
+def test_deep_escaping_and_nesting(labeller):
+    text = HTML
+    for _ in range(12):
+        text = html.escape(text)
+    assert found(labeller, text) == HTML_FOUND
+    deep = "\\section{A}\n\\begin{itemize}\n\\item " + "\\emph{" * 9 + "deep" + "}" * 9 + "\n\\end{itemize}"
+    assert found(labeller, deep) == {("heading", "A"), ("list_item", "deep")}
+    assert found(labeller, "<p>So <math>a + b</math> holds.</p>") == {("formula", "a + b")}
