@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 KEPT_PARTS, KEPT_LENGTH = 400_000, 64
 
 
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    """Token bytes and ids of a rank file's content: a base64 token and its id on every line."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ids of a rank file: a base64 token and its id on every line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return ranks_of(f.read())
 
 
 class PairTree:
@@ -115,8 +119,7 @@ def _encoded(tokens: bytes, pattern: str):
     """tokens: the rank file's content, of a fixed size; it travels once with the function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in tokens.splitlines() if line.strip())}
-        encoder = Encoder(ranks, pattern)
+        encoder = Encoder(ranks_of(tokens), pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids = [encoder.ids(t) for t in batch.column("text").slice(at, 512).to_pylist()]
