@@ -5,8 +5,9 @@ a leader itself. Set-based: leaders are the lexicographically first maximal inde
 similarity graph, and a duplicate's leader is its neighbour of smallest rank among them. The graph comes
 from an exact similarity join with prefix filtering: two sets of similarity t share one of the first
 n - ceil(t n) + 1 shingles in any common order, so only those are joined. Leaders are then settled in
-rounds, each a join and an aggregate; nothing is gathered per block. Once the links between open records
-are few, as those of long chains are, they are settled at once on the driver.
+rounds, each a join and an aggregate; nothing is gathered per block. What is open after a few rounds, as long
+chains are, is split into connected components, and those of a bounded number of links are settled at once, each
+in a task; the rounds go on for larger ones.
 
 Records of equal sets in a block are one node (their earliest), so groups of copies cost linear work.
 """
@@ -16,11 +17,13 @@ from __future__ import annotations
 from collections import defaultdict
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import shingles
 from postmill.operators.boilerplate import boilerplate, compared_text
+from postmill.operators.components import components
 from postmill.session import cut, release
 
 
@@ -77,11 +80,26 @@ def _settled(links: list[tuple]) -> dict:
     return leads
 
 
+def _settle(table: pa.Table) -> pa.Table:
+    """(node, leads) of a component's links (component, node, other, o)."""
+    done = _settled(list(zip(*(table.column(c).to_pylist() for c in ("node", "other", "o")))))
+    return pa.table({"node": pa.array(done.keys(), pa.int64()), "leads": pa.array(done.values(), pa.bool_())})
+
+
+def _small_components(links: DataFrame, few: int) -> DataFrame:
+    """(node, leads) of the nodes in components of at most ``few`` links. links: (node, other, o) as ``_settled`` has."""
+    open_ = links.where("o is null")
+    parts = components(open_.select("node", F.coalesce("other", "node").alias("other")), "node", "other").withColumnRenamed("node", "n")
+    each = links.join(parts, links.node == parts.n).select("component", "node", "other", "o")
+    small = each.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") <= few).select("component")
+    return each.join(small, "component", "left_semi").groupBy("component").applyInArrow(_settle, "node long, leads boolean")
+
+
 def leaders(nodes: DataFrame, pairs: DataFrame, few: int = 200_000) -> DataFrame:
     """(node, leader): the first leader that each node resembles, null for leaders.
 
     A node is settled once all its earlier neighbours are: it is a leader if none of them is one. Each round
-    settles one node at least; every fourth one looks whether at most ``few`` links are left.
+    settles one node at least; every fourth one also settles the components of at most ``few`` links.
     """
     ranks = nodes.select("node", "rank")
     before = cut(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
@@ -99,11 +117,11 @@ def leaders(nodes: DataFrame, pairs: DataFrame, few: int = 200_000) -> DataFrame
         if done % 4 == 0:
             others = state.where("leads is null or leads").select(F.col("node").alias("other"), F.col("leads").alias("o"))
             links = before.join(open_, "node").join(others, "other").select("node", "other", "o")
-            rest = links.union(open_.select("node", F.lit(None).alias("other"), F.lit(None).cast("boolean").alias("o"))).limit(few + 1).collect()
-            if len(rest) <= few:
-                old, state = state, cut(state.where("leads is not null").union(state.sparkSession.createDataFrame(list(_settled(rest).items()), state.schema)))
-                release(old)
-                break
+            links = cut(links.union(open_.select("node", F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("o"))))
+            found = cut(_small_components(links, few))
+            old, state = state, cut(state.join(found.withColumnRenamed("leads", "l"), "node", "left").select("node", F.coalesce("leads", "l").alias("leads")))
+            for x in (old, links, found):
+                release(x)
     lead = state.where("leads").select(F.col("node").alias("other")).join(ranks.withColumnRenamed("node", "other"), "other")
     first = before.join(lead, "other").groupBy("node").agg(F.min_by("other", "rank").alias("leader"))
     # neighbours of a leader that come before it are no leaders; its later ones can't be its leader
@@ -115,7 +133,7 @@ def cluster(rows: DataFrame, threshold: float = 0.7, shingle: int = 4) -> DataFr
     # an empty set resembles only empty sets; a mark of its own makes that so
     sets = F.when(F.size("s") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_sort("s"))
     hashed = cut(rows.select("id", F.xxhash64("block").alias("block"), "rank", shingles(F.coalesce("text", F.lit("")), shingle).alias("s")).select("id", "block", "rank", sets.alias("set")))
-    keyed = hashed.withColumn("same", F.xxhash64("set"))
+    keyed = hashed.withColumn("same", F.struct(F.xxhash64("set"), F.xxhash64(F.lit(1), "set")))  # 128 bits
     nodes = cut(keyed.groupBy("block", "same").agg(F.min_by(F.struct("id", "set"), "rank").alias("r"), F.min("rank").alias("rank")).select("block", "same", F.col("r.id").alias("node"), "rank", F.col("r.set").alias("set")))
     found = leaders(nodes, similar_pairs(nodes, threshold))
     chosen = nodes.select("block", "same", "node").join(found, "node")

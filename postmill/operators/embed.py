@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHARS, BATCH, DIMENSIONS = 7000, 100, 256
+BATCH, DIMENSIONS = 100, 256
 
 #: texts and their role ('document' or 'query') to vectors
 Embedder = Callable[[list[str], str], "np.ndarray"]
@@ -77,23 +77,39 @@ def retryable_status(status: int) -> bool:
     return status == 429 or status >= 500
 
 
-def _vectors(embed: Embedder, max_chars: int, batch: int):
+def _vectors(embed: Embedder, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
-                got = np.asarray(embed([(t or "")[:max_chars] for t in part.column("text").to_pylist()], "document"), np.float32)
-                if len(got) != part.num_rows:
-                    raise RuntimeError(f"{len(got)} embeddings for {part.num_rows} texts")
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(got), pa.list_(pa.float32())), part.column("content_hash")], names=["id", "embedding", "embedding_hash"])
+                error = None
+                try:
+                    got = np.asarray(embed([t or "" for t in part.column("text").to_pylist()], "document"), np.float32)
+                    if len(got) != part.num_rows:
+                        error = f"{len(got)} embeddings for {part.num_rows} texts"
+                except Exception as e:
+                    error = str(e) or type(e).__name__
+                vectors = pa.nulls(part.num_rows, pa.list_(pa.float32())) if error else pa.array(list(got), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), vectors, part.column("content_hash"), pa.array([error] * part.num_rows, pa.string())], names=["id", "embedding", "embedding_hash", "error"])
+                if error:  # a service that fails is not asked again by this task
+                    return
 
     return run
 
 
-def embed_pending(postings: DataFrame, companies: DataFrame, embed: Embedder | None, limit: int | None = None, max_chars: int = MAX_CHARS, batch: int = BATCH) -> DataFrame:
-    """(id, embedding, embedding_hash) of the pending postings; without an embedder none."""
+def attempted(postings: DataFrame, companies: DataFrame, embed: Embedder | None, limit: int | None = None, batch: int = BATCH) -> DataFrame:
+    """(id, embedding, embedding_hash, error) of the pending postings, by requests of ``batch`` texts: those of a
+    request that failed have its error and no embedding, and its task leaves the rest pending. Without an embedder
+    there are none.
+    """
     work = pending_work(postings, companies, limit)
     if embed is None:
         work = work.limit(0)
         embed = word_counts
-    return work.mapInArrow(_vectors(embed, max_chars, batch), "id long, embedding array<float>, embedding_hash string")
+    return work.mapInArrow(_vectors(embed, batch), "id long, embedding array<float>, embedding_hash string, error string")
+
+
+def embed_pending(postings: DataFrame, companies: DataFrame, embed: Embedder | None, limit: int | None = None, batch: int = BATCH) -> DataFrame:
+    """(id, embedding, embedding_hash) of the pending postings; a request that fails is an error."""
+    rows = attempted(postings, companies, embed, limit, batch)
+    return rows.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).cast("boolean"))).drop("error")

@@ -47,16 +47,18 @@ def by_ids(postings: DataFrame, companies: DataFrame, ids: list[int]) -> DataFra
     return with_company(rows, companies)
 
 
-def duplicates_of(postings: DataFrame, companies: DataFrame, posting_id: int) -> DataFrame:
+def duplicates_of(postings: DataFrame, companies: DataFrame, posting_id: int | None) -> DataFrame:
     return with_company(postings.where(F.col("canonical_id") == posting_id), companies).select(*SUMMARY).orderBy("id")
 
 
 def job_detail(postings: DataFrame, companies: DataFrame, posting_id: int) -> DataFrame:
     """The posting, open or not, with the summaries of the duplicates of its canonical posting."""
     one = with_company(postings.where(F.col("id") == posting_id), companies).drop("embedding", "embedding_hash")
-    others = with_company(postings.where(F.col("canonical_id").isNotNull()), companies).select(F.col("canonical_id").alias("_c"), F.struct(*[F.col(c) for c in ["id", *[s for s in SUMMARY if s != "id"]]]).alias("d"))
-    joined = one.join(others, F.coalesce(one.canonical_id, one.id) == others._c, "left").drop("_c")
-    return joined.groupBy(*[c for c in one.columns]).agg(F.array_sort(F.collect_list("d")).alias("duplicates"))
+    # looked up first, so that the scan for the duplicates filters on a value
+    found = postings.where(F.col("id") == posting_id).select(F.coalesce("canonical_id", "id")).head()
+    summaries = duplicates_of(postings, companies, found[0] if found else None)
+    others = summaries.agg(F.array_sort(F.collect_list(F.struct(*SUMMARY))).alias("duplicates"))  # the caller's page; ids come first
+    return one.crossJoin(others)  # one row each
 
 
 def embedded(postings: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.schemas import COUNTERS
+from postmill.session import cut
+
 KEY = ["company_id", "external_id"]
 #: what a snapshot overwrites in a posting that exists
 OVERWRITTEN = ["title", "normalized_title", "location", "department", "url", "description", "content_hash"]
@@ -51,7 +54,8 @@ def merge(state: DataFrame, snapshot: DataFrame, polled: DataFrame, run_at: Colu
     out["last_seen_at"] = F.when(there, run_at).otherwise(F.col("last_seen_at"))
     out["closed_at"] = F.when(there, F.lit(None).cast("timestamp")).when(missing, run_at).otherwise(F.col("closed_at"))
     out["canonical_id"] = F.when(missing, F.lit(None).cast("long")).otherwise(F.col("canonical_id"))
-    merged = both.select(*[out[c].alias(c) for c in state.columns], change.alias("change"))
+    # written: the rows with id and the new ones are read apart
+    merged = cut(both.select(*[out[c].alias(c) for c in state.columns], change.alias("change")))
     return with_new_ids(merged, state)
 
 
@@ -61,8 +65,6 @@ def with_new_ids(merged: DataFrame, state: DataFrame) -> DataFrame:
     The new rows are sorted over all partitions; each partition's offset is the number of new rows before
     it, so ids are dense although nothing is numbered in one task.
     """
-    from postmill.session import cut
-
     new = cut(merged.where(F.col("id").isNull()).repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()))
     counts = new.groupBy("_part").agg(F.count("*").alias("_c"), F.min("_n").alias("_low"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
@@ -85,6 +87,20 @@ def poll_counters(merged: DataFrame, snapshot_rows: DataFrame, polls: DataFrame)
     return boards.crossJoin(seen).crossJoin(changes)  # one row each
 
 
+def start_run(runs: DataFrame, run_id: int, at: Column) -> DataFrame:
+    """The runs with one more that has begun; a run of that number is begun anew."""
+    counters = [F.lit(0).alias(c) for c in COUNTERS]
+    row = runs.sparkSession.range(1).select(F.lit(run_id).cast("long").alias("id"), at.alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), *counters)
+    return runs.where(F.col("id") != run_id).unionByName(row)
+
+
+def finish_run(runs: DataFrame, run_id: int, at: Column, counters: dict[str, int]) -> DataFrame:
+    """The runs with one of them finished; counters that are not given are 0."""
+    own = F.col("id") == run_id
+    counted = [F.when(own, F.lit(int(counters.get(c, 0)))).otherwise(F.col(c)).cast("int").alias(c) for c in COUNTERS]
+    return runs.select("id", "started_at", F.when(own, at).otherwise(F.col("finished_at")).alias("finished_at"), *counted)
+
+
 def replace_links(postings: DataFrame, links: DataFrame) -> DataFrame:
     """All canonical links replaced by (id, canonical_id)."""
     return postings.drop("canonical_id").join(links.select("id", F.col("canonical_id").cast("long").alias("canonical_id")), "id", "left").select(*postings.columns)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill import schemas
 from postmill.functions import text as X
 from postmill.functions import vectors
 from postmill.functions.plain import error_column
 from postmill.operators import boilerplate, cluster, embed, search, snapshot
+from postmill.plans.service import as_json
 from postmill.session import table
 from postmill.sources import boards
+from postmill.sources.embedding_api import sent_text
 
 QUERIES, SQL = {}, {}
 
@@ -29,6 +32,13 @@ def _pc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "job_postings"), table(spark, d, "companies")
 
 
+def _weighed(vector) -> Column:
+    """A whole number that every element of a vector and its place go into; what is no finite number counts as 0."""
+    plain = F.transform(vector, lambda x, i: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x.cast("double") * (i + 1)))
+    return F.floor(F.aggregate(plain, F.lit(0.0), lambda a, x: a + x) * 1000 + 0.5)
+
+
+_WEIGHED = "CAST(floor(coalesce(list_sum(list_transform(list_zip({v}, range(1, len({v}) + 1)), lambda z: CASE WHEN z[1] IS NULL OR isnan(z[1]) OR isinf(z[1]) THEN 0 ELSE CAST(z[1] AS DOUBLE) * z[2] END)), 0) * 1000 + 0.5) AS BIGINT)"
 _STRIP = r"regexp_replace(regexp_replace({c}, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '')"
 _OPEN = "p.closed_at IS NULL"
 
@@ -60,9 +70,9 @@ def postings_by_ids(spark, d):
     return search.by_ids(p, c, [3, 5, 8, 13, 21, 34, 999999999]).select("id", "company_name", "title")
 
 
-@query("SELECT id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS first FROM job_postings WHERE closed_at IS NULL AND canonical_id IS NULL AND embedding IS NOT NULL")
+@query(f"SELECT id, len(embedding) AS n, {_WEIGHED.format(v='embedding')} AS weighed FROM job_postings WHERE closed_at IS NULL AND canonical_id IS NULL AND embedding IS NOT NULL")
 def embedded_canonical(spark, d):
-    return search.embedded(table(spark, d, "job_postings")).select("id", F.size("embedding").cast("long").alias("n"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    return search.embedded(table(spark, d, "job_postings")).select("id", F.size("embedding").cast("long").alias("n"), _weighed("embedding").alias("weighed"))
 
 
 _GH_SQL = f"""SELECT CAST(id AS VARCHAR) AS external_id, {_STRIP.format(c="title")} AS title, location.name AS location, departments[1].name AS department, absolute_url AS url,
@@ -80,10 +90,24 @@ def greenhouse_text(spark, d):
     return boards.greenhouse_jobs(table(spark, d, "greenhouse")).select("external_id", "description")
 
 
+def _escaped(c) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(mark), F.lit(entity))
+    return c
+
+
+_FLAT = r"regexp_replace(coalesce({c}, ''), '[ \t\n\r\f]+', ' ', 'g')"
+
+
 def _lever_payloads(p: DataFrame) -> DataFrame:
     posting = F.struct(
         F.col("external_id").alias("id"), F.col("title").alias("text"), F.col("url").alias("hostedUrl"), F.unix_millis("posted_at").alias("createdAt"),
-        F.struct("location", F.col("department").alias("team")).alias("categories"), F.col("description").alias("descriptionPlain"),
+        F.struct("location", F.when(F.col("id") % 3 != 0, F.col("department")).alias("team"), F.col("department")).alias("categories"), F.col("description").alias("descriptionPlain"),
+        F.array(
+            F.struct(F.lit("Role").alias("text"), F.concat(F.lit("<p>"), F.coalesce("normalized_title", F.lit("")), F.lit("</p><div>A <b>good</b>&nbsp; place</div>")).alias("content")),
+            F.struct(F.lit(None).cast("string").alias("text"), F.lit("<ul><li>one<li>two &amp; three</ul>").alias("content")),
+        ).alias("lists"),
+        F.when(F.col("id") % 2 == 0, F.col("url")).alias("additionalPlain"),
     )
     return p.select("id", F.to_json(F.array(posting)).alias("payload"))
 
@@ -95,7 +119,10 @@ _WS = f"regexp_replace({_WS}, '\\n{{{{3,}}}}', chr(10) || chr(10), 'g')"
 _WS = f"regexp_replace(regexp_replace({_WS}, '^[\\s\\p{{{{Z}}}}]+', ''), '[\\s\\p{{{{Z}}}}]+$', '')"
 
 
-@query(f"""SELECT id AS posting_id, external_id, {_STRIP.format(c="title")} AS title, location, department, url, {_WS.format(c="description")} AS description,
+_LEVER_TEXT = "coalesce(description, '') || chr(10) || chr(10) || 'Role' || chr(10) || CASE WHEN coalesce(normalized_title, '') = '' THEN '' ELSE normalized_title || chr(10) END || 'A good place' || chr(10) || chr(10) || chr(10) || 'one' || chr(10) || 'two & three' || CASE WHEN id % 2 = 0 AND url IS NOT NULL THEN chr(10) || chr(10) || url ELSE '' END"
+
+
+@query(f"""SELECT id AS posting_id, external_id, {_STRIP.format(c="title")} AS title, location, department, url, {_WS.format(c=_LEVER_TEXT)} AS description,
 CAST(floor(epoch_us(posted_at) / 1000) AS BIGINT) AS posted_ms FROM job_postings""")
 def lever_postings(spark, d):
     """Payloads made of the postings are parsed and projected back."""
@@ -105,6 +132,21 @@ def lever_postings(spark, d):
     return jobs.select("posting_id", "external_id", "title", "location", "department", "url", "description", F.unix_millis("posted_at").alias("posted_ms"))
 
 
+_MARKED = f"{_FLAT.format(c='title')} || chr(10) || {_FLAT.format(c='department')} || chr(10) || {_FLAT.format(c='location')} || chr(10) || 'a < b & c ' || {_FLAT.format(c='normalized_title')}"
+
+
+@query(f"SELECT CAST(id AS VARCHAR) AS external_id, {_WS.format(c=_MARKED)} AS description FROM job_postings")
+def escaped_markup_text(spark, d):
+    """Markup made of the postings, escaped as boards deliver it, becomes their text again."""
+    p = table(spark, d, "job_postings")
+    text = lambda c: _escaped(F.coalesce(c, F.lit("")))
+    last = F.concat(F.lit("<ul><li>"), text("location"), F.lit("</li><li><i>a &lt; b &amp; c</i> "), text("normalized_title"), F.lit("</li></ul><style>p {}</style>"))
+    markup = F.concat(F.lit("<h2>"), text("title"), F.lit("</h2><p>"), text("department"), F.lit("</p>\n"), last)
+    none = F.lit(None).cast("string")
+    jobs = p.select("id", none.alias("title"), none.alias("absolute_url"), none.alias("updated_at"), none.alias("first_published"), F.struct(none.alias("name")).alias("location"), F.array(F.struct(none.alias("name"))).alias("departments"), _escaped(markup).alias("content"))
+    return boards.greenhouse_jobs(jobs).select("external_id", "description")
+
+
 @query("SELECT id, normalized_title AS title_key FROM job_postings")
 def title_keys(spark, d):
     """The stored keys are the keys of the titles."""
@@ -122,6 +164,41 @@ def poll_errors(spark, d):
     return table(spark, d, "companies").select("id", error_column(F.col("last_poll_error")).alias("error"))
 
 
+@query("SELECT to_json({'id': id, 'name': name, 'source': source, 'enabled': enabled, 'last_poll_error': last_poll_error}) AS value FROM companies")
+def companies_json(spark, d):
+    return as_json(table(spark, d, "companies").select("id", "name", "source", "enabled", "last_poll_error"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name FROM (DESCRIBE {t})" for t in ("companies", "job_postings", "ingestion_runs")))
+def table_columns(spark, d):
+    """The columns of the state's tables."""
+    rows = [(name, c) for name, schema in (("companies", schemas.COMPANIES), ("job_postings", schemas.POSTINGS), ("ingestion_runs", schemas.RUNS)) for c in schema.fieldNames()]
+    return spark.createDataFrame(rows, "table_name string, column_name string")
+
+
+@query("""WITH last AS (SELECT max(id) + 1 AS n FROM ingestion_runs)
+SELECT id, started_at AT TIME ZONE 'UTC' AS started_at, CASE WHEN id = n - 1 THEN TIMESTAMP '2026-09-05 00:00:00' ELSE finished_at AT TIME ZONE 'UTC' END AS finished_at,
+CAST(CASE WHEN id = n - 1 THEN 7 ELSE postings_new END AS INT) AS postings_new, CAST(CASE WHEN id = n - 1 THEN 0 ELSE postings_closed END AS INT) AS postings_closed FROM ingestion_runs, last
+UNION ALL SELECT n, TIMESTAMP '2026-09-05 00:00:00', NULL, 0, 0 FROM last""")
+def run_rows(spark, d):
+    """The last run is finished and another one begun."""
+    runs, at = table(spark, d, "ingestion_runs"), F.lit("2026-09-05 00:00:00 UTC").cast("timestamp")
+    n = runs.agg(F.max("id")).head()[0]
+    done = snapshot.finish_run(runs, n, at, {"postings_new": 7})
+    return snapshot.start_run(done, n + 1, at).select("id", "started_at", "finished_at", "postings_new", "postings_closed")
+
+
+@query("SELECT count(*) AS postings_ranked FROM job_postings WHERE closed_at IS NULL AND canonical_id IS NULL AND embedding IS NOT NULL")
+def postings_ranked(spark, d):
+    return search.postings_ranked(table(spark, d, "job_postings"))
+
+
+@query("SELECT id, content_hash AS embedding_hash FROM job_postings WHERE FALSE")
+def embedding_disabled(spark, d):
+    """Without an embedder nothing is embedded."""
+    return embed.embed_pending(*_pc(spark, d), None).select("id", "embedding_hash")
+
+
 _SUMMARY = "p.id, c.name AS company_name, p.title, p.location, p.department, p.url, p.posted_at AT TIME ZONE 'UTC' AS posted_at, p.closed_at AT TIME ZONE 'UTC' AS closed_at, p.canonical_id"
 
 
@@ -298,15 +375,28 @@ def replaced_links(spark, d):
 _TEXT_SQL = "p.title || ' at ' || c.name || CASE WHEN p.location IS NOT NULL THEN chr(10) || 'Location: ' || p.location ELSE '' END || CASE WHEN p.department IS NOT NULL THEN chr(10) || 'Team: ' || p.department ELSE '' END || chr(10) || chr(10) || p.description"
 
 
-@query(f"SELECT p.id, left({_TEXT_SQL}, 7000) AS text, p.content_hash FROM job_postings p JOIN companies c ON c.id = p.company_id WHERE {_OPEN} AND p.canonical_id IS NULL AND (p.embedding IS NULL OR p.embedding_hash IS DISTINCT FROM p.content_hash)")
+@query(f"SELECT p.id, {_TEXT_SQL} AS text, p.content_hash FROM job_postings p JOIN companies c ON c.id = p.company_id WHERE {_OPEN} AND p.canonical_id IS NULL AND (p.embedding IS NULL OR p.embedding_hash IS DISTINCT FROM p.content_hash)")
 def pending_embeddings(spark, d):
-    return embed.pending_work(*_pc(spark, d)).select("id", F.substring("text", 1, embed.MAX_CHARS).alias("text"), "content_hash")
+    return embed.pending_work(*_pc(spark, d))
+
+
+_PENDING = f"FROM job_postings p JOIN companies c ON c.id = p.company_id WHERE {_OPEN} AND p.canonical_id IS NULL AND (p.embedding IS NULL OR p.embedding_hash IS DISTINCT FROM p.content_hash)"
+
+
+@query(f"SELECT p.id, left({_TEXT_SQL}, 500) AS text {_PENDING} ORDER BY p.id LIMIT 120")
+def pending_requests(spark, d):
+    """The first 120 texts as a remote service that takes 500 characters gets them."""
+    return embed.pending_work(*_pc(spark, d), limit=120).select("id", sent_text(F.col("text"), 500).alias("text"))
+
+
+# every word of more than two characters counts at the remainder of its 31-polynomial
+_SLOT = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(w, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda h, ch: (h * 31 + ch) % 256)"
 
 
-@query(f"SELECT id, content_hash AS embedding_hash, 256 AS n FROM job_postings p WHERE {_OPEN} AND p.canonical_id IS NULL AND (p.embedding IS NULL OR p.embedding_hash IS DISTINCT FROM p.content_hash)")
+@query(f"SELECT id, embedding_hash, 256 AS n, CAST(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+'), lambda w: length(w) > 2), lambda w: {_SLOT} + 1)), 0) * 1000 AS BIGINT) AS weighed FROM (SELECT p.id, p.content_hash AS embedding_hash, {_TEXT_SQL} AS text {_PENDING})")
 def embedded_pending(spark, d):
     out = embed.embed_pending(*_pc(spark, d), embed.word_counts)
-    return out.select("id", "embedding_hash", F.size("embedding").alias("n"))
+    return out.select("id", "embedding_hash", F.size("embedding").alias("n"), _weighed("embedding").alias("weighed"))
 
 
 @query("""WITH s AS (SELECT company_id, lower(trim(external_id)) AS external_id, title, run_id, arrival_seq FROM board_snapshots)
@@ -326,7 +416,7 @@ def _merge_input(spark, d):
     rows = table(spark, d, "board_snapshots").where(F.col("run_id") == run)
     snap = rows.select(
         "company_id", F.lower(F.trim("external_id")).alias("external_id"), "title", X.title_key(F.col("title"), F.col("location")).alias("normalized_title"), "location", "department", "url",
-        F.lit("").alias("description"), F.lower(F.trim("content_hash")).alias("content_hash"), "posted_at", "arrival_seq",
+        F.concat(F.lit("About "), "title").alias("description"), F.lower(F.trim("content_hash")).alias("content_hash"), "posted_at", "arrival_seq",
     )
     polls = table(spark, d, "board_polls").where(F.col("run_id") == run).select("company_id", F.col("poll_error").alias("error"))
     return snap, polls
@@ -335,9 +425,12 @@ def _merge_input(spark, d):
 _AT = "TIMESTAMP '2026-09-05 00:00:00'"
 _MERGE = """WITH run AS (SELECT max(id) AS id FROM ingestion_runs WHERE finished_at IS NOT NULL),
 ok AS (SELECT company_id FROM board_polls, run WHERE run_id = run.id AND poll_error IS NULL),
-snap AS (SELECT company_id, lower(trim(external_id)) AS external_id, title, posted_at FROM board_snapshots s, run WHERE s.run_id = run.id AND company_id IN (SELECT company_id FROM ok)
+snap AS (SELECT company_id, lower(trim(external_id)) AS external_id, title, location, department, url, lower(trim(content_hash)) AS content_hash, posted_at FROM board_snapshots s, run WHERE s.run_id = run.id AND company_id IN (SELECT company_id FROM ok)
   QUALIFY row_number() OVER (PARTITION BY company_id, lower(trim(external_id)) ORDER BY arrival_seq DESC) = 1),
-merged AS (SELECT coalesce(p.company_id, s.company_id) AS company_id, coalesce(p.external_id, s.external_id) AS external_id, p.id, s.company_id IS NOT NULL AS there, p.closed_at, p.canonical_id,
+merged AS (SELECT coalesce(p.company_id, s.company_id) AS company_id, coalesce(p.external_id, s.external_id) AS external_id, p.id, s.company_id IS NOT NULL AS there, p.closed_at, p.canonical_id, p.first_seen_at, p.embedding, p.embedding_hash,
+  CASE WHEN s.company_id IS NOT NULL THEN s.location ELSE p.location END AS location, CASE WHEN s.company_id IS NOT NULL THEN s.department ELSE p.department END AS department,
+  CASE WHEN s.company_id IS NOT NULL THEN s.url ELSE p.url END AS url, CASE WHEN s.company_id IS NOT NULL THEN s.content_hash ELSE p.content_hash END AS content_hash,
+  CASE WHEN s.company_id IS NOT NULL THEN 'About ' || s.title ELSE p.description END AS description,
   CASE WHEN s.company_id IS NOT NULL THEN s.title ELSE p.title END AS title, CASE WHEN s.company_id IS NOT NULL THEN coalesce(p.posted_at, s.posted_at) ELSE p.posted_at END AS posted_at, p.last_seen_at
   FROM job_postings p FULL JOIN snap s ON s.company_id = p.company_id AND s.external_id = p.external_id),
 told AS (SELECT *, CASE WHEN there AND id IS NULL THEN 'created' WHEN there AND closed_at IS NOT NULL THEN 'reopened' WHEN there THEN 'seen'
@@ -349,13 +442,14 @@ told AS (SELECT *, CASE WHEN there AND id IS NULL THEN 'created' WHEN there AND
     _MERGE
     + f"""SELECT CASE WHEN id IS NULL THEN (SELECT max(id) FROM job_postings) + row_number() OVER (PARTITION BY id IS NULL ORDER BY company_id, external_id) ELSE id END AS id, company_id, external_id, title, posted_at AT TIME ZONE 'UTC' AS posted_at,
 CASE WHEN there THEN {_AT} ELSE last_seen_at AT TIME ZONE 'UTC' END AS last_seen_at, CASE WHEN there THEN NULL WHEN change = 'closed' THEN {_AT} ELSE closed_at AT TIME ZONE 'UTC' END AS closed_at,
-CASE WHEN change = 'closed' THEN NULL ELSE canonical_id END AS canonical_id, change FROM told"""
+CASE WHEN change = 'closed' THEN NULL ELSE canonical_id END AS canonical_id, change, location, department, url, content_hash, description, embedding_hash,
+CASE WHEN embedding IS NOT NULL THEN {_WEIGHED.format(v="embedding")} END AS weighed, coalesce(first_seen_at AT TIME ZONE 'UTC', {_AT}) AS first_seen_at FROM told"""
 )
 def snapshot_merge(spark, d):
     snap, polls = _merge_input(spark, d)
     at = F.lit("2026-09-05 00:00:00 UTC").cast("timestamp")
     merged = snapshot.merge(table(spark, d, "job_postings"), snapshot.last_per_key(snap, snapshot.KEY, "arrival_seq"), polls.where("error is null"), at)
-    return merged.select("id", "company_id", "external_id", "title", "posted_at", "last_seen_at", "closed_at", "canonical_id", "change")
+    return merged.select("id", "company_id", "external_id", "title", "posted_at", "last_seen_at", "closed_at", "canonical_id", "change", "location", "department", "url", "content_hash", "description", "embedding_hash", _weighed("embedding").alias("weighed"), "first_seen_at")
 
 
 @query(
@@ -390,8 +484,8 @@ def added_companies(spark, d):
 
 
 @query("""WITH v AS (SELECT id, content_hash, CAST([id, 1] AS FLOAT[]) AS e FROM job_postings WHERE canonical_id IS NOT NULL)
-SELECT p.id, CASE WHEN v.id IS NOT NULL THEN CAST(v.e[1] AS DOUBLE) ELSE CAST(p.embedding[1] AS DOUBLE) END AS first, CASE WHEN v.id IS NOT NULL THEN v.content_hash ELSE p.embedding_hash END AS embedding_hash FROM job_postings p LEFT JOIN v USING (id)""")
+SELECT p.id, CASE WHEN coalesce(v.e, p.embedding) IS NOT NULL THEN """ + _WEIGHED.format(v="coalesce(v.e, p.embedding)") + """ END AS weighed, CASE WHEN v.id IS NOT NULL THEN v.content_hash ELSE p.embedding_hash END AS embedding_hash FROM job_postings p LEFT JOIN v USING (id)""")
 def saved_embeddings(spark, d):
     p = table(spark, d, "job_postings")
     v = p.where(F.col("canonical_id").isNotNull()).select("id", F.array(F.col("id").cast("float"), F.lit(1).cast("float")).alias("embedding"), F.col("content_hash").alias("embedding_hash"))
-    return snapshot.save_embeddings(p, v).select("id", F.get("embedding", F.lit(0)).cast("double").alias("first"), "embedding_hash")
+    return snapshot.save_embeddings(p, v).select("id", _weighed("embedding").alias("weighed"), "embedding_hash")

@@ -7,18 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:
-    from pypdf import PdfReader
-except ImportError:  # no PDF reader here; PDF files are an error then
-    PdfReader = None
-
-
-def _pdf_text(content: bytes) -> str:
-    if PdfReader is None:
-        raise RuntimeError("reading PDF files needs the package pypdf")
-    import io
-
-    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+from postmill.sources.pdf import pdf_text
 
 
 def is_pdf(path: str, content_type: str | None = None) -> bool:
@@ -27,14 +16,12 @@ def is_pdf(path: str, content_type: str | None = None) -> bool:
 
 @F.arrow_udf(T.StringType())
 def _pdfs(content: pa.Array) -> pa.Array:
-    return pa.array([None if c is None else _pdf_text(c) for c in content.to_pylist()], pa.string())
+    return pa.array([None if c is None else pdf_text(c) for c in content.to_pylist()], pa.string())
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of files: PDF files through a PDF reader, others as UTF-8."""
+def read_documents(spark: SparkSession, path: str, content_type: str | None = None) -> DataFrame:
+    """(path, text) of files: PDF files by their suffix or the content type they were sent with, others as UTF-8."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    pdf = F.lower("path").endswith(".pdf")
+    pdf = F.lower("path").endswith(".pdf") | F.lit(content_type == "application/pdf")
     plain = files.where(~pdf).select("path", F.decode("content", "UTF-8").alias("text"))
-    if PdfReader is None and not files.where(pdf).isEmpty():
-        raise RuntimeError("reading PDF files needs the package pypdf")
-    return plain if PdfReader is None else plain.unionByName(files.where(pdf).select("path", _pdfs("content").alias("text")))
+    return plain.unionByName(files.where(pdf).select("path", _pdfs("content").alias("text")))

@@ -61,16 +61,18 @@ def test_embedder(server):
     with pytest.raises(ServiceError) as e:
         make("wrong")(["a"], "query")
     assert e.value.status == 403
+    cut_off = http_embedder(server, {"X-Key": "k"}, lambda texts, role: {"texts": texts}, lambda a: a["v"], max_chars=4)
+    assert cut_off(["abcdefg", "xy"], "document").tolist() == [[4.0], [2.0]]
     with pytest.raises(RuntimeError, match="1 embeddings for 2 texts"):
         make("k", most=1)(["a", "b"], "query")
 
 
 def test_polling_and_documents(spark, server, tmp_path):
     s = PostingService(spark, str(tmp_path / "app"), word_counts)
-    rows = [(1, "A", "GREENHOUSE", "acme", True, None, None), (2, "B", "LEVER", "b", True, None, None), (3, "C", "GREENHOUSE", "gone", True, None, None), (4, "D", "LEVER", "off", False, None, None)]
+    rows = [(5, "E", "GREENHOUSE", "acme", True, None, None), (1, "A", "GREENHOUSE", "acme", True, None, None), (2, "B", "LEVER", "b", True, None, None), (3, "C", "GREENHOUSE", "gone", True, None, None), (4, "D", "LEVER", "off", False, None, None)]
     s.company_table.write(spark.createDataFrame(rows, schemas.COMPANIES))
     run = s.ingest_boards({"GREENHOUSE": server + "/g/{token}", "LEVER": server + "/old"}, dt.datetime(2026, 1, 1)).head()
-    assert (run.companies_polled, run.companies_failed, run.postings_new) == (2, 1, 2)
+    assert (run.companies_polled, run.companies_failed, run.postings_new) == (3, 1, 3)
     errors = {r.id: r.last_poll_error for r in s.company_table.read().collect()}
     assert errors[1] is None and "404" in errors[3] and errors[4] is None
     (tmp_path / "cv.txt").write_text("I build backend services")

@@ -1,10 +1,12 @@
 import datetime as dt
 import json
+import zlib
 
 import pytest
 
 from postmill.sources import boards, documents
 from postmill.sources.http import BoardReader
+from postmill.sources.pdf import pdf_text
 
 OBJECT_BOARD = {
     "meta": {"total": 3},
@@ -69,13 +71,48 @@ def test_missing_jobs_and_unknown_source(spark, tmp_path):
 
 
 def test_http_reader_reports_errors():
-    reader = BoardReader({"urls": json.dumps(["http://127.0.0.1:9/none"]), "timeout": "1"})
-    (part,) = reader.partitions()
-    ((url, payload, error),) = list(reader.read(part))
-    assert url and payload is None and error
+    urls = [f"http://127.0.0.1:9/{i}" for i in range(20)]
+    reader = BoardReader({"urls": json.dumps(urls), "timeout": "1", "concurrency": "3"})
+    parts = reader.partitions()
+    assert len(parts) == 3 and len(BoardReader({"urls": json.dumps(urls)}).partitions()) == 8
+    rows = [r for p in parts for r in reader.read(p)]
+    assert sorted(r[0] for r in rows) == sorted(urls) and all(payload is None and error for _, payload, error in rows)
+    (none,) = BoardReader({"urls": "[]"}).partitions()
+    assert list(reader.read(none)) == []
 
 
 def test_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Grüße")
     assert [r.text for r in documents.read_documents(spark, str(tmp_path)).collect()] == ["Grüße"]
     assert documents.is_pdf("x.PDF") and documents.is_pdf("x", "application/pdf") and not documents.is_pdf("x.txt")
+    (tmp_path / "b.PDF").write_bytes(a_pdf([(b"BT /F1 12 Tf 72 700 Td (Baker) Tj ET", False)]))
+    assert sorted(r.text for r in documents.read_documents(spark, str(tmp_path)).collect()) == ["Baker\n", "Grüße"]
+    # no suffix, told by the content type
+    (tmp_path / "upload").write_bytes(a_pdf([(b"BT /F1 12 Tf 72 700 Td (Miller) Tj ET", True)]))
+    assert [r.text for r in documents.read_documents(spark, str(tmp_path / "upload"), "application/pdf").collect()] == ["Miller\n"]
+
+
+def a_pdf(pages, font=b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", extra=()):
+    """A PDF file of pages (content, whether it is compressed); extra: further objects from number 4 on."""
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", None, font, *extra]
+    kids = []
+    for content, packed in pages:
+        body = zlib.compress(content) if packed else content
+        objects.append(b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(body), b"/Filter /FlateDecode " if packed else b"", body))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % len(objects))
+        kids.append(b"%d 0 R" % len(objects))
+    objects[1] = b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % (b" ".join(kids), len(kids))
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_text():
+    lines = rb"BT /F1 11 Tf 14 TL 72 700 Td (Built \(and ran\) ovens) Tj T* [(Team)-250(of)-20( five)] TJ (Caf\351) ' ET BT 1 0 0 1 72 600 Tm <4f6b> Tj 40 0 Td (then) Tj ET"
+    got = pdf_text(a_pdf([(lines, True), (b"BT /F1 9 Tf 10 10 Td (Second page) Tj ET", False)]))
+    assert got == "Built (and ran) ovens\nTeam of five\nCafé\nOk then\nSecond page\n"
+    # a two-byte font with its character map
+    cmap = b"begincmap 2 beginbfchar <0001> <041F> <0005> <D83DDE80> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange endcmap"
+    font = b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>"
+    assert pdf_text(a_pdf([(b"BT /F1 9 Tf 1 1 Td <0001001000110012> Tj <0005> Tj ET", True)], font, [b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap)])) == "Пabc🚀\n"
+    for broken in (b"", b"plain text", b"%PDF-1.4\ntrailer", a_pdf([(b"", False)]) + b" /Encrypt 9 0 R"):
+        with pytest.raises(ValueError):
+            pdf_text(broken)
