@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators import incremental, snapshot_diff
-from postmill.session import ensure_checkpoint_dir, table
+from postmill.session import scratch_folder, table
 
 _KEY = r"lower(regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
 
@@ -19,8 +17,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the live consumer, run by run."""
-    folder = f"{ensure_checkpoint_dir(spark)}/consumer-{uuid.uuid4().hex}"
-    return incremental.consumed(table(spark, sf_dir, "posting_feed"), table(spark, sf_dir, "ingestion_runs"), folder)
+    return incremental.consumed(table(spark, sf_dir, "posting_feed"), table(spark, sf_dir, "ingestion_runs"), scratch_folder(spark, "consumer"))
 
 
 P1_SQL = """

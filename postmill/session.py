@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_live: dict[str, SparkSession] = {}  # tables that cut has written and nobody has removed yet
+_live: dict[str, SparkSession] = {}  # folders that were written and nobody has removed yet
 _scopes = threading.local()
 
 
@@ -35,17 +35,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new name below the checkpoint folder, removed like the tables of ``cut``."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _live[path] = spark
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table into the checkpoint folder and read back: its lineage is cut, every executor
     can read it again, and readers take only the columns they need. Removed by ``release``, at the end of the
     innermost ``scratch`` or, outside of any, when the application ends.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "table")
     df.write.parquet(path)
-    _live[path] = spark
-    if getattr(_scopes, "open", None):
-        _scopes.open[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
