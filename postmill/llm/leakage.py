@@ -21,7 +21,6 @@ are ignored.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import ensure_checkpoint_dir
+from postmill.session import scratch_folder
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -138,7 +137,7 @@ def _scan(file: str, window: int, budget: int):
 def _shared(items: DataFrame) -> str:
     """Name of the file, one that every executor fetches, that holds the items of a block."""
     spark = items.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/items-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "items")
     items.coalesce(1).write.parquet(folder)  # a block has a size bound
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
