@@ -11,7 +11,7 @@ from postmill.functions import vectors
 from postmill.functions.plain import error_column
 from postmill.operators import boilerplate, cluster, embed, search, snapshot
 from postmill.plans.service import as_json
-from postmill.session import table
+from postmill.session import spread, table
 from postmill.sources import boards
 from postmill.sources.embedding_api import sent_text
 
@@ -87,7 +87,7 @@ def greenhouse_jobs(spark, d):
 
 @query()
 def greenhouse_text(spark, d):
-    return boards.greenhouse_jobs(table(spark, d, "greenhouse")).select("external_id", "description")
+    return boards.greenhouse_jobs(spread(table(spark, d, "greenhouse"))).select("external_id", "description")
 
 
 def _escaped(c) -> Column:
@@ -127,7 +127,7 @@ CAST(floor(epoch_us(posted_at) / 1000) AS BIGINT) AS posted_ms FROM job_postings
 def lever_postings(spark, d):
     """Payloads made of the postings are parsed and projected back."""
     p = table(spark, d, "job_postings")
-    rows = _lever_payloads(p).withColumnRenamed("id", "posting_id")
+    rows = _lever_payloads(spread(p)).withColumnRenamed("id", "posting_id")
     jobs = boards.from_json_column(rows, "payload", "LEVER")
     return jobs.select("posting_id", "external_id", "title", "location", "department", "url", "description", F.unix_millis("posted_at").alias("posted_ms"))
 
@@ -150,7 +150,7 @@ def escaped_markup_text(spark, d):
 @query("SELECT id, normalized_title AS title_key FROM job_postings")
 def title_keys(spark, d):
     """The stored keys are the keys of the titles."""
-    return table(spark, d, "job_postings").select("id", X.title_key(F.col("title"), F.col("location")).alias("title_key"))
+    return spread(table(spark, d, "job_postings").select("id", "title", "location")).select("id", X.title_key(F.col("title"), F.col("location")).alias("title_key"))
 
 
 @query(f"""SELECT id, sha256(title || chr(0) || coalesce(location, 'null') || chr(0) || coalesce(department, 'null') || chr(0) || description || chr(0)) AS content_hash, {_WS.format(c="description")} AS squeezed FROM job_postings""")

@@ -20,6 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a table's scan over all cores, for costly functions, where a small one comes in fewer partitions.
+
+    A file of one row group is one task whatever its rows cost. Only tables of less than a file's opening cost
+    (``spark.sql.files.openCostInBytes``) per core are sent around; larger ones stay as they are read. The rows are
+    the same either way. What is no plain scan (projections and filters of a file table) is given back as it is.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = scan._jdf.queryExecution()
+    node = plan.optimizedPlan()
+    small = int(node.stats().sizeInBytes()) <= cores * int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.child()
+    if not small or node.nodeName() != "LogicalRelation":
+        return scan
+    return scan.repartition(cores) if plan.toRdd().getNumPartitions() < cores else scan
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints.
 

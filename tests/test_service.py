@@ -164,6 +164,22 @@ def test_cut_tables_go_with_their_scope(spark):
     assert outer._cut_path not in session._live
 
 
+def test_small_scans_are_spread(spark, tmp_path):
+    path = str(tmp_path / "one.parquet")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path).where("id > 9").select((F.col("id") + 1).alias("n"))
+    out = session.spread(scan)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 990
+    for other in (spark.range(5).coalesce(1), scan.groupBy("n").count(), scan.join(scan, "n")):
+        assert session.spread(other) is other
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        large = spark.read.parquet(path)  # beyond what opening a file per core costs
+        assert session.spread(large) is large
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_stream_of_payloads(spark, tmp_path):
     board = lambda *ids: json.dumps({"jobs": [{"id": i, "title": f"Job {i}", "absolute_url": "u", "updated_at": "2025-01-01T00:00:00Z", "content": f"text {i}"} for i in ids]})
     s = PostingService(spark, str(tmp_path / "app"))
