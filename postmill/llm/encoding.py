@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import spread
+
 KEPT_PARTS, KEPT_LENGTH = 400_000, 64
 
 
@@ -136,4 +138,4 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, rank_path: str, pattern
     """(id, ids) of every row."""
     with open(rank_path, "rb") as f:
         tokens = f.read()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_encoded(tokens, pattern), "id long, ids array<int>")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(_encoded(tokens, pattern), "id long, ids array<int>")

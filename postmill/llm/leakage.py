@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import scratch_folder
+from postmill.session import scratch_folder, spread
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -152,7 +152,7 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     total, longest = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.coalesce(F.max(F.length("t")), F.lit(0))).head()
     # hashed blocks of half the bound on average; a single longer item is a block of its own size
     blocks = max(1, -(-2 * total // max(block_chars, longest)))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text"))
+    texts = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")))
     out = None
     for b in range(blocks):
         part = texts.mapInArrow(_scan(_shared(held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)), window, budget), "doc long, item long")

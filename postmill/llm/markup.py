@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.blocks import LABELS, Labeller
+from postmill.session import spread
 
 KINDS = ("heading", "list_item", "code", "formula")
 TAG = re.compile(r"</?(p|div|ul|ol|li|h[1-6]|pre|br|table|tr|td|section|article|span|blockquote)\b[^<>]*>", re.I)
@@ -414,13 +415,13 @@ def rendered(parts: list[tuple[str, str]]) -> str:
 
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, body) of the structural elements."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(_found(Labeller.trained(), False), "id long, kind string, body string").distinct()
 
 
 def clean_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) with the structure kept as plain marks."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(_found(Labeller.trained(), True), "id long, text string")
 
 

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import spread
+
 #: each pair of characters has one slot in each of two tables; the lesser of its counts holds
 PAIR_SLOTS, TABLES = 1 << 21, 2
 REPLACEMENT = "�"
@@ -475,4 +477,4 @@ def _restored(stats: dict[str, np.ndarray]):
 def restored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, restored): every garbled text restored, null where characters are lost."""
     stats = corpus_statistics(docs, text_col)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_restored(stats), "id long, restored string")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(_restored(stats), "id long, restored string")

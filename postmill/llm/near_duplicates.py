@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.operators.components import components
-from postmill.session import cut
+from postmill.session import cut, spread
 
 WORD = r"(?:[^\W_]|[+#])+"
 SKETCH = 128
@@ -175,7 +175,7 @@ def links(docs: DataFrame, id_col: str, block_col: str, text_col: str, threshold
     crowded = text.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block", exact_bits(F.col("c")).alias("exact"))
     most = crowded.agg(F.max("exact")).head()[0] or 0
     bits = max(SKETCH, -(-max(words_needed(threshold, e) * (BITS + e) for e in range(most + 1)) // 64) * 64)
-    prints = cut(text.mapInArrow(_fingerprints(shingle, bits), "id long, block long, n int, same long, s0 long, s1 long, more array<long>"))
+    prints = cut(spread(text).mapInArrow(_fingerprints(shingle, bits), "id long, block long, n int, same long, s0 long, s1 long, more array<long>"))
     # equal sets have equal hashes, sizes and fingerprints
     of_class = ["block", "same", "n", "s0", "s1"]
     classes = prints.groupBy(*of_class).agg(F.min("id").alias("rep"), F.first("more").alias("more"))
